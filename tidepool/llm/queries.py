@@ -4,7 +4,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, language_id, mixing, quality, secret_scan, token_counts, url_filter
+from . import bpe, language_id, lattice_dedup, mixing, quality, secret_scan, token_counts, url_filter
 from .common import table
 
 
@@ -29,6 +29,10 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
 
+def op6_lattice_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
@@ -51,5 +55,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op3_secret_scan, op5_url_filter, op7_language_id, op8_mix_sources, op9_byte_bpe, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op3_secret_scan, op5_url_filter, op6_lattice_dedup, op7_language_id, op8_mix_sources, op9_byte_bpe, op10_quality)}
 ORACLE_SQL: dict[str, str] = {}
