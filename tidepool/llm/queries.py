@@ -4,7 +4,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, language_id, lattice_dedup, mixing, quality, secret_scan, token_counts, url_filter
+from . import bpe, language_id, lattice_dedup, mixing, projected_search, quality, secret_scan, token_counts, url_filter
 from .common import table
 
 
@@ -25,6 +25,11 @@ def secret_digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", *[count(k) for k in secret_scan.BASE], F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
+def op4_projected_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return projected_search.nearest_inner_product(rows, rows.where(F.col("vec_id") % 20 == 0))
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
@@ -55,5 +60,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op3_secret_scan, op5_url_filter, op6_lattice_dedup, op7_language_id, op8_mix_sources, op9_byte_bpe, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op3_secret_scan, op4_projected_search, op5_url_filter, op6_lattice_dedup, op7_language_id, op8_mix_sources, op9_byte_bpe, op10_quality)}
 ORACLE_SQL: dict[str, str] = {}
