@@ -131,11 +131,10 @@ def mix(
 
 def take(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The mixed documents: every row of docs as often as the mix takes it."""
-    counts = mix(docs, id_col, text_col, source_col, **options).groupBy("id", "th").agg(F.sum("copies").alias("k"), F.count(F.lit(1)).alias("m"))
-    counts = cut(counts.where("k > 0"))
-    rows = docs.select("*", F.xxhash64(text_col).alias("__th"))
+    counts = mix(docs, id_col, text_col, source_col, **options).groupBy("id", "th")
+    counts = cut(counts.agg(F.sum("copies").alias("k"), F.count(F.lit(1)).alias("m")).where("k > 0"))
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), F.col(id_col).alias("row_id"), F.xxhash64(text_col).alias("row_th"))
     if counts.where("m > 1").limit(1).count():  # equal rows: keep one, the counts hold for all of them
-        rows = rows.dropDuplicates([id_col, "__th"])
-    on = F.col(id_col).eqNullSafe(F.col("id_")) & (F.col("__th") == F.col("th"))
-    joined = rows.join(counts.withColumnRenamed("id", "id_").select("id_", "th", "k"), on)
-    return joined.withColumn("__i", F.explode(F.sequence(F.lit(1).cast("long"), "k"))).select(*docs.columns)
+        rows = rows.dropDuplicates(["row_id", "row_th"])
+    met = rows.join(counts, F.col("row_id").eqNullSafe(F.col("id")) & (F.col("row_th") == F.col("th")))
+    return met.select("doc", F.explode(F.sequence(F.lit(1).cast("long"), "k"))).select("doc.*")
