@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, functions as F
 from .common import cut
 
 
-def _spread(df: DataFrame, column: str) -> DataFrame:
-    """An exchange of its own below a join, so that the join's other side can be split where it is skewed."""
-    return df.repartition(F.col(column))
+def _spread(df: DataFrame) -> DataFrame:
+    """An exchange of its own below a join on u, so that the join's other side can be split where it is skewed."""
+    return df.repartition(F.xxhash64("u"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -27,8 +27,8 @@ def components(links: DataFrame) -> DataFrame:
         state = now
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(_spread(least, "m"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(_spread(least), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = cut(large)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(_spread(least, "m"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
+        small = large.join(_spread(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
         e = cut(small.union(least.select("u", F.col("m").alias("v"))).distinct())
