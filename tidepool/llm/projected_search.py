@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import cut
 
-DIMENSION, LEAF, BLOCK = 8, 64, 8192
+DIMENSION, LEAF, BLOCK = 8, 64, 4096
 _SEED = 23
 
 
