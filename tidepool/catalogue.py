@@ -202,6 +202,13 @@ p AS (SELECT c_custkey * 7 AS probe, (SELECT min(n) FROM r WHERE o_orderkey >= c
 SELECT probe, o_orderkey AS found FROM p LEFT JOIN r USING (n)"""
 
 
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey >= (SELECT min(o_orderkey) FROM orders WHERE o_orderkey > 400) AND o_orderkey < (SELECT max(o_orderkey) FROM orders WHERE o_orderkey <= 900)")
+def selector_range(spark, d):
+    o = orders_kv(spark, d)
+    found = selectors.range_between(o, selectors.first_greater_than(tuples.pack(400)), selectors.last_less_or_equal(tuples.pack(900)))
+    return found.select("o_orderkey", "o_custkey")
+
+
 # Versions
 
 
@@ -344,7 +351,11 @@ def conflict_points(spark, d):
     return conflicts.point_pairs(reads.withColumn("e", F.col("s") + 1), writes)
 
 
-@query()
+@query(f"""WITH RECURSIVE {_TXN}, p AS (SELECT r.txn AS reader, list(DISTINCT w.txn) AS writers FROM r JOIN w ON r.s < w.e AND w.s < r.e AND w.version > r.read_version AND w.version < r.version
+WHERE r.txn // 32 = w.txn // 32 GROUP BY 1), o AS (SELECT o_orderkey AS txn, o_orderkey // 32 AS batch, row_number() OVER (PARTITION BY o_orderkey // 32 ORDER BY o_orderkey) AS i, writers FROM orders LEFT JOIN p ON reader = o_orderkey),
+g AS (SELECT batch, i, txn, true AS accepted, [txn] AS acc FROM o WHERE i = 1
+UNION ALL SELECT o.batch, o.i, o.txn, len(list_intersect(acc, coalesce(o.writers, []))) = 0, CASE WHEN len(list_intersect(acc, coalesce(o.writers, []))) = 0 THEN list_append(acc, o.txn) ELSE acc END FROM g JOIN o ON o.batch = g.batch AND o.i = g.i + 1)
+SELECT batch, txn, accepted FROM g""")
 def conflict_resolve(spark, d):
     reads, writes = transactions(spark, d)
     found = conflicts.pairs(reads, writes, grid=16, lag=LAG)
@@ -358,6 +369,13 @@ def conflict_metrics(spark, d):
     return conflicts.metrics(*transactions(spark, d))
 
 
+@query(f"WITH {_TXN} SELECT txn, s, e FROM w WHERE version >= (SELECT max(o_orderkey) FROM orders) - 500")
+def conflict_retained(spark, d):
+    _, writes = transactions(spark, d)
+    last = table(spark, d, "orders").agg(F.max("o_orderkey")).first()[0]
+    return conflicts.retained(writes, last or 0, 500).select("txn", "s", "e")
+
+
 # Shards
 
 
@@ -471,7 +489,12 @@ def version_arithmetic(spark, d):
     )
 
 
-@query()
+_BASE36 = "list_reduce([" + ", ".join(f"substr('0123456789abcdefghijklmnopqrstuvwxyz', CAST((x // {36**i}) % 36 AS INTEGER) + 1, 1)" for i in range(12, -1, -1)) + "], lambda a, b: a || b)"
+
+
+@query(f"""WITH t AS (SELECT event_id, user_id, 18446744073709551615::HUGEINT - event_id AS x FROM events), k AS (SELECT *, {_BASE36} AS key FROM t)
+SELECT event_id, key, 'c/' || CASE WHEN user_id >= 36 THEN CASE WHEN user_id >= 1296 THEN substr('0123456789abcdefghijklmnopqrstuvwxyz', user_id // 1296 + 1, 1) ELSE '' END || substr('0123456789abcdefghijklmnopqrstuvwxyz', user_id // 36 % 36 + 1, 1) ELSE '' END
+|| substr('0123456789abcdefghijklmnopqrstuvwxyz', user_id % 36 + 1, 1) || '/' || key AS path, event_id AS back FROM k""")
 def inverted_version_key(spark, d):
     e = table(spark, d, "events").select("event_id", keys.inverted_key(F.col("event_id")).alias("key"), keys.chunk_path(F.col("user_id"), F.col("event_id")).alias("path"))
     return e.withColumn("back", keys.version_of_inverted(F.col("key")))

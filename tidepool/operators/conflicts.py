@@ -61,3 +61,13 @@ def metrics(reads: DataFrame, writes: DataFrame) -> DataFrame:
         F.countDistinct("version").alias("versions"), F.sum((F.col("e") == F.col("s") + 1).cast("long")).alias("points"), F.sum((F.col("e") > F.col("s") + 1).cast("long")).alias("ranges")
     )
     return w.crossJoin(reads.agg(F.count(F.lit(1)).alias("reads")))  # one row by one row
+
+
+def retained(writes: DataFrame, last: int, window: int) -> DataFrame:
+    """The writes that later checks can still need: those of the last `window` versions."""
+    return writes.where(F.col("version") >= last - window)
+
+
+def stale(txns: DataFrame, newest: int) -> DataFrame:
+    """txns with stale: whether the batch follows a version (last_version) that is behind `newest`, which aborts it whole."""
+    return txns.withColumn("stale", F.col("last_version") < newest)

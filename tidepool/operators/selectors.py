@@ -127,3 +127,23 @@ def scalar(rows: DataFrame, selector: KeySelector) -> DataFrame:
     if n >= 0:
         return rows.where(up).orderBy("key").offset(n).limit(1)
     return rows.where(down).orderBy(F.desc("key")).offset(-n - 1).limit(1)
+
+
+class InvalidRange(ValueError):
+    """A range whose start resolves above its end."""
+
+
+def range_between(rows: DataFrame, start: KeySelector, end: KeySelector, limit: int = 10_000) -> DataFrame:
+    """Rows from the key that start resolves to up to, not including, the one that end resolves to.
+
+    A start beyond the keys gives no rows; an end beyond them leaves the range open.
+    """
+    low, high = (scalar(rows.select("key"), s).first() for s in (start, end))
+    if low is None:
+        return rows.limit(0)
+    if high is not None and low["key"] > high["key"]:
+        raise InvalidRange("invalid_range")
+    found = rows.where(F.col("key") >= F.lit(low["key"]))
+    if high is not None:
+        found = found.where(F.col("key") < F.lit(high["key"]))
+    return found.orderBy("key").limit(limit)

@@ -37,3 +37,14 @@ def histogram(rows: DataFrame, page: str, width: int) -> DataFrame:
     """bucket (keys on a page, rounded down to width) and pages in it."""
     per = rows.groupBy(page).agg(F.count(F.lit(1)).alias("n"))
     return per.groupBy((F.floor(F.col("n") / width) * width).cast("long").alias("bucket")).agg(F.count(F.lit(1)).alias("pages"))
+
+
+def durability_profile(config: dict) -> list[str]:
+    """What keeps a configuration (replicas, logs, paths) from being durable; empty if nothing does."""
+    found = []
+    if config.get("replicas", 0) < 3:
+        found.append("fewer than 3 replicas")
+    if config.get("logs", 0) < 3:
+        found.append("fewer than 3 logs")
+    found += [f"no persistent path for {k}" for k, v in sorted(config.get("paths", {}).items()) if not v]
+    return found
