@@ -14,8 +14,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-#: How many ranges keys are dealt into, at most; the split points are broadcast as a literal.
-RANGES = 256
+#: Keys are dealt into ranges of about KEYS_A_RANGE; the split points, MOST_RANGES at most, travel as a literal.
+FEWEST_RANGES, MOST_RANGES, KEYS_A_RANGE = 256, 4096, 1_000_000
 
 
 @dataclass(frozen=True)
@@ -52,7 +52,7 @@ def _range_of(key: Column, splits: list) -> Column:
     if not splits:
         return F.lit(0)
     points = F.array(*[F.lit(s) for s in splits])
-    # binary search: eight halvings of at most 256 ranges
+    # binary search
     lo, hi = F.lit(0), F.lit(len(splits))
     state = F.struct(lo.alias("lo"), hi.alias("hi"))
 
@@ -61,12 +61,13 @@ def _range_of(key: Column, splits: list) -> Column:
         up = (s["lo"] < s["hi"]) & (F.element_at(points, F.least(mid + 1, F.lit(len(splits)))) <= key)
         return F.when(s["lo"] >= s["hi"], s).when(up, F.struct((mid + 1).alias("lo"), s["hi"].alias("hi"))).otherwise(F.struct(s["lo"].alias("lo"), mid.alias("hi")))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(9)), state, halve)["lo"]
+    return F.aggregate(F.sequence(F.lit(1), F.lit(len(splits).bit_length() + 1)), state, halve)["lo"]
 
 
-def split_points(keys: DataFrame, ranges: int = RANGES) -> list:
+def split_points(keys: DataFrame, ranges: int | None = None) -> list:
     """Keys that cut the table into about equal ranges, from a bounded sample."""
     n = keys.count()
+    ranges = ranges or min(MOST_RANGES, max(FEWEST_RANGES, n // KEYS_A_RANGE))
     some = keys.select("key") if n <= 20_000 else keys.select("key").where(F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < int(2e10 / n))
     found = sorted(r[0] for r in some.distinct().collect())
     step = max(1, len(found) // ranges)
@@ -76,7 +77,7 @@ def split_points(keys: DataFrame, ranges: int = RANGES) -> list:
 def ranked(keys: DataFrame, splits: list) -> DataFrame:
     """keys (key, ...) with range and rank, from 0, in key order."""
     dealt = keys.withColumn("range", _range_of(F.col("key"), splits))
-    sizes = dealt.groupBy("range").agg(F.count(F.lit(1)).alias("n"))  # RANGES rows at most
+    sizes = dealt.groupBy("range").agg(F.count(F.lit(1)).alias("n"))  # a row for each range
     offsets = sizes.select("range", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("offset"))
     place = F.row_number().over(Window.partitionBy("range").orderBy("key")) - 1
     return dealt.join(F.broadcast(offsets), "range").withColumn("rank", (F.col("offset") + place).cast("long")).drop("offset")
@@ -97,7 +98,7 @@ def counts_below(keys: DataFrame, probes: DataFrame, splits: list) -> DataFrame:
     return probes.join(out, "probe")
 
 
-def resolve(keys: DataFrame, probes: DataFrame, ranges: int = RANGES) -> DataFrame:
+def resolve(keys: DataFrame, probes: DataFrame, ranges: int | None = None) -> DataFrame:
     """probes with `found`: probes have probe, kind (a constructor's name) and offset; keys have distinct key."""
     splits = split_points(keys, ranges)
     kind = F.col("kind")
