@@ -6,10 +6,14 @@
    odd sketch) filters them: the population count of two bitmaps' XOR estimates how many samples
    differ. The filter's margin is wide enough that a pair at the threshold passes all but surely.
 3. Pairs that pass are confirmed on the full sets. Links are never taken from an estimate.
-4. Crowded buckets are not expanded into all pairs. In a first round a member meets the first members
-   of its bucket only, and confirmed links give components. Then only pairs of a crowded bucket whose
-   ends are still in different components can matter: first the best partners by sketch, in rounds
-   while these still join components, then all remaining such pairs. They are compared in blocks.
+4. Crowded buckets are not expanded into all pairs. Their first members meet each other, and of a later
+   member's meetings with the very first ones only the most alike is confirmed. Confirmed links give
+   components. Then only pairs of a crowded bucket whose ends are still in different components can
+   matter. Of these, a pair at the threshold either shares one of the rarest quarter of its shingles
+   that few of the crowded documents have, or consists of common ones to such a part that the
+   numbers of common shingles alone allow the link: every document's quarter meets others by an equi-join
+   whose groups are bounded, and pairs of the second kind are found in blocks. Members' most alike
+   partners are confirmed first, then what is left. A passage that many documents share proposes no pairs.
 
 A pair at the threshold is missed only if no band of it agrees (about one in ten thousand) and no
 third document joins the two; components are otherwise exact.
@@ -35,10 +39,12 @@ from .shingles import U, mix, shingle_sets
 
 SAMPLES, ROWS, SKETCH_BITS = 96, 4, 256
 BANDS = SAMPLES // ROWS
-#: XOR population counts above this are not confirmed: about similarity 0.5, over four deviations under 0.75.
-MOST_DIFFERENT = 68
+#: XOR population counts above this are not confirmed: a pair of similarity 0.75 passes but for one in ten thousand.
+MOST_DIFFERENT = 66
 #: Members of a bucket that all meet each other, and those that any later member meets.
-ALL_PAIRS, PIVOTS = 32, 4
+ALL_PAIRS, PIVOTS = 12, 4
+#: Shingles that so many crowded documents have are common, and how many common ones may be broadcast.
+COMMON, MOST_COMMON = 64, 4_000_000
 #: Members of a block of a crowded bucket.
 BLOCK = 256
 #: Bytes of text hashed at a time.
@@ -127,96 +133,151 @@ def _sketch_matrix(col) -> np.ndarray:
     return np.frombuffer(b"".join(col.to_pylist()), np.uint64).reshape(-1, SKETCH_BITS // 64)
 
 
-def _alike(sa: np.ndarray, sb: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
-    """Where sketches and set sizes leave 100 * intersection >= 75 * union possible."""
+def _alike(sa: np.ndarray, sb: np.ndarray, na: np.ndarray, nb: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The XOR counts, and where they and the set sizes leave 100 * intersection >= 75 * union possible."""
     d = np.bitwise_count(sa ^ sb).sum(-1, dtype=np.int64)
-    return (d <= MOST_DIFFERENT) & (100 * np.minimum(na, nb) >= 75 * np.maximum(na, nb))
+    return d, (d <= MOST_DIFFERENT) & (100 * np.minimum(na, nb) >= 75 * np.maximum(na, nb))
 
 
-def _first_meetings(batches):
-    """Rows sorted by band, then a hash of rep. kind 0: a pair to confirm; kind 1: a crowded band (in a)."""
-    held = None  # the first rows of the run that may go on: band, rep, n, sketch
+def _meetings(batches, all_pairs: int, pivots: int):
+    """Rows (band, rep, n, sketch, comp) sorted by band; comp -1 is a component of its own. kind 0: a pair among first members; kind 1: a crowded band (in a);
+    kind 2: a later member (a) and a very first one (b). d: the pair's XOR count."""
+    held = None  # the first rows of the run that may go on
     length = 0  # of that run so far
     for batch in batches:
         if not batch.num_rows:
             continue
-        band, rep, n = (batch.column(i).to_numpy() for i in range(3))
+        band, rep, n, comp = (batch.column(i).to_numpy() for i in (0, 1, 2, 4))
         sk = _sketch_matrix(batch.column(3))
         old, before = 0, 0
         if held is not None and held[0][0] == band[0]:
             old, before = len(held[0]), length
-            band, rep, n, sk = (np.concatenate([x, y]) for x, y in zip(held, (band, rep, n, sk), strict=True))
+            band, rep, n, sk, comp = (np.concatenate([x, y]) for x, y in zip(held, (band, rep, n, sk, comp), strict=True))
         start = np.concatenate([[True], band[1:] != band[:-1]])
         begin = np.maximum.accumulate(np.where(start, np.arange(len(band)), 0))
         pos = np.arange(len(band)) - begin
         pos[old : len(pos)] += np.where(begin[old:] == 0, before - old, 0)  # rows that aren't held any more
-        out_a, out_b = [], []
+        out: list[tuple] = []
 
-        def meet(i: np.ndarray, j: np.ndarray) -> None:
-            ok = _alike(sk[i], sk[j], n[i], n[j])
-            out_a.append(np.minimum(rep[i[ok]], rep[j[ok]]))
-            out_b.append(np.maximum(rep[i[ok]], rep[j[ok]]))
+        def meet(kind: int, i: np.ndarray, j: np.ndarray) -> None:
+            d, ok = _alike(sk[i], sk[j], n[i], n[j])
+            ok &= (comp[i] != comp[j]) | (comp[i] < 0)
+            x, y, d = rep[i[ok]], rep[j[ok]], d[ok]
+            out.append((np.full(len(d), kind), *((np.minimum(x, y), np.maximum(x, y)) if kind == 0 else (x, y)), d))
 
         fresh = np.arange(len(band)) >= old
-        early = fresh & (pos < ALL_PAIRS)
-        for lag in range(1, ALL_PAIRS):
+        early = fresh & (pos < all_pairs)
+        for lag in range(1, all_pairs):
             i = np.flatnonzero(early & (pos >= lag))
             if not len(i):
                 break
-            meet(i, i - lag)
-        late = np.flatnonzero(fresh & (pos >= ALL_PAIRS))
-        for p in range(PIVOTS if len(late) else 0):
-            meet(late, begin[late] + p)
-        crowded = band[fresh & (pos == ALL_PAIRS)]
-        a, b = (np.concatenate([*x, crowded]) if x else crowded for x in (out_a, out_b))
-        kind = np.concatenate([np.zeros(len(a) - len(crowded), np.int32), np.ones(len(crowded), np.int32)])
+            meet(0, i, i - lag)
+        late = np.flatnonzero(fresh & (pos >= all_pairs))
+        for p in range(pivots if len(late) else 0):
+            meet(2, late, begin[late] + p)
+        crowded = band[fresh & (pos == all_pairs)]
+        out.append((np.ones(len(crowded), np.int64), crowded, crowded, np.zeros(len(crowded), np.int64)))
+        kind, a, b, d = (np.concatenate(c) for c in zip(*out, strict=True))
         if len(a):
-            yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(a), pa.array(b)], ["kind", "a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(a), pa.array(b), pa.array(d, pa.int32())], ["kind", "a", "b", "d"])
         at = int(begin[-1])
         length = int(pos[-1]) + 1
-        held = tuple(x[at : at + ALL_PAIRS].copy() for x in (band, rep, n, sk))
+        held = tuple(x[at : at + all_pairs].copy() for x in (band, rep, n, sk, comp))
 
 
-def _cross(best: int | None):
-    """Meetings of the minor members (side 0) with the members of a block (side 1) of other components."""
+def _cross(batches):
+    """Meetings of the minor members (side 0, in a) with the members of a block (side 1, in b) of other components."""
+    for _, t in _groups(batches, ("band", "i", "j")):
+        side = t["side"].to_numpy()
+        x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        if not len(x) or not len(y):
+            continue
+        rep, comp, n, common, sk = t["rep"].to_numpy(), t["comp"].to_numpy(), t["n"].to_numpy(), t["common"].to_numpy(), _sketch_matrix(t["sketch"])
+        a, b, ds = [], [], []
+        for i in x:
+            d, ok = _alike(sk[y], sk[i], n[y], n[i])
+            ok = np.flatnonzero(ok & (comp[y] != comp[i]) & (7 * np.minimum(common[y], common[i]) >= 3 * (n[y] + n[i])))
+            a.append(np.full(len(ok), rep[i]))
+            b.append(rep[y[ok]])
+            ds.append(d[ok])
+        a, b, d = np.concatenate(a), np.concatenate(b), np.concatenate(ds)
+        if len(a):
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(d, pa.int32())], ["a", "b", "d"])
+
+
+def _shingles(batches):
+    for batch in batches:
+        for at, data, ends in text_blocks(batch.column(1)):
+            h, _ = shingle_sets(data, ends)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], ["x"])
+
+
+def common_shingles(texts: DataFrame) -> tuple[np.ndarray, int]:
+    """The shingles that at least `many` of these documents have, sorted, and `many`, which is such that they are
+    MOST_COMMON at most."""
+    counts = cut(texts.mapInArrow(_shingles, "x long").groupBy("x").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= COMMON))
+    total = counts.agg(F.sum("c")).first()[0] or 0
+    many = max(COMMON, total // MOST_COMMON)
+    found = counts.where(F.col("c") >= many).select("x").toArrow()["x"].to_numpy()
+    return np.sort(found.view(np.uint64)), many
+
+
+def _profiles(shared):
+    """id, common (how many common shingles) and rare (those of the rarest quarter that are not common)."""
 
     def run(batches):
-        for _, t in _groups(batches, ("band", "i", "j")):
-            side = t["side"].to_numpy()
-            x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-            if not len(x) or not len(y):
-                continue
-            rep, comp, n, sk = t["rep"].to_numpy(), t["comp"].to_numpy(), t["n"].to_numpy(), _sketch_matrix(t["sketch"])
-            a, b = [], []
-            for i in x:
-                d = np.bitwise_count(sk[y] ^ sk[i]).sum(1, dtype=np.int64)
-                ok = np.flatnonzero((d <= MOST_DIFFERENT) & (comp[y] != comp[i]) & (100 * np.minimum(n[y], n[i]) >= 75 * np.maximum(n[y], n[i])))
-                if best is not None and len(ok) > best:
-                    ok = ok[np.argsort(d[ok], kind="stable")[:best]]
-                a.append(np.minimum(rep[y[ok]], rep[i]))
-                b.append(np.maximum(rep[y[ok]], rep[i]))
-            a, b = np.concatenate(a), np.concatenate(b)
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+        for batch in batches:
+            for at, data, ends in text_blocks(batch.column(1)):
+                h, n = shingle_sets(data, ends)
+                known = shared.value
+                place = np.searchsorted(known, h)
+                is_common = (known[np.minimum(place, len(known) - 1)] == h) if len(known) else np.zeros(len(h), bool)
+                doc = np.repeat(np.arange(len(n)), n)
+                common = np.bincount(doc, is_common, len(n)).astype(np.int64)
+                rare, of = h[~is_common], doc[~is_common]
+                first = np.cumsum(n - common) - (n - common)
+                keep = np.arange(len(rare)) - first[of] <= (n - (3 * n + 3) // 4)[of]
+                sizes = np.bincount(of[keep], minlength=len(n))
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(rare[keep].view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(n)), pa.array(common), lists], ["id", "common", "rare"])
 
     return run
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 * intersection >= 75 * union. docs: id, text."""
+def _few(df: DataFrame, n: int) -> DataFrame:
+    """df, broadcast if its n rows of an id are known to be few."""
+    return F.broadcast(df) if n <= 2_000_000 else df
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _most_alike(pairs: DataFrame) -> DataFrame:
+    """Of the pairs of each a the one with the fewest differing bits, as (a, b) in order."""
+    best = pairs.groupBy("a").agg(F.min(F.struct("d", "b")).alias("x"))
+    return _ordered(best.select("a", F.col("x.b").alias("b")))
+
+
+def _only(docs: DataFrame, nodes: DataFrame, repeated: bool) -> DataFrame:
+    """docs (id, text) with an id in nodes, one row an id. repeated: an id may stand on several (equal) rows."""
+    texts = docs.join(_few(nodes, nodes.count()), F.col("id") == F.col("node"), "left_semi")
+    return texts.dropDuplicates(["id"]) if repeated else texts
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, repeated: bool) -> DataFrame:
+    """The pairs (a, b) whose full sets have 100 * intersection >= 75 * union."""
     involved = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    few = F.broadcast(involved) if involved.count() <= 2_000_000 else involved
-    texts = docs.join(few, F.col("id") == F.col("node"), "left_semi")
+    texts = _only(docs, involved, repeated)
     sets = texts.mapInArrow(_sets, "id long, s array<bigint>")
     one, two = (sets.select(F.col("id").alias(k), F.col("s").alias(f"s{k}")) for k in ("a", "b"))
     both = F.size(F.array_intersect("sa", "sb"))
     return pairs.join(one, "a").join(two, "b").where(100 * both >= 75 * (F.size("sa") + F.size("sb") - both)).select("a", "b").distinct()
 
 
-def _crowded_members(members: DataFrame, links: DataFrame) -> DataFrame | None:
+def _crowded_members(members: DataFrame, group: DataFrame) -> DataFrame | None:
     """Members of crowded buckets that hold several components: band, rep, n, sketch, comp, minor; None if there are none."""
-    of = components(links)
-    m = members.join(of, F.col("rep") == F.col("node"), "left").withColumn("comp", F.coalesce("root", "rep")).drop("node", "root")
+    m = members.join(group, F.col("rep") == F.col("node"), "left").withColumn("comp", F.coalesce("root", "rep")).drop("node", "root")
     per = m.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("k"))
     per = cut(per.groupBy("band").agg(F.max(F.struct("k", "comp")).alias("main"), F.sum("k").alias("m"), F.count(F.lit(1)).alias("comps")).where("comps > 1"))
     n = per.count()
@@ -224,19 +285,19 @@ def _crowded_members(members: DataFrame, links: DataFrame) -> DataFrame | None:
         return None
     per = per.select("band", F.col("main.comp").alias("main"), F.col("m"), (F.col("m") - F.col("main.k")).alias("minors"))
     m = m.join(F.broadcast(per) if n <= 200_000 else per, "band")
-    return cut(m.withColumn("minor", F.col("comp") != F.col("main")))
+    return m.withColumn("minor", F.col("comp") != F.col("main"))
 
 
-def _blocks(m: DataFrame, best: int | None) -> DataFrame:
-    """Candidate pairs (a, b): every minor member with the members of other components, in blocks of both."""
+def _blocks(m: DataFrame) -> DataFrame:
+    """a, b, d: minor members (a) with members of other components (b) that common shingles may link, in blocks of both."""
     rows = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
     spread = lambda n, seed: F.pmod(F.xxhash64("rep", F.lit(seed)), rows(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), rows(n) - 1))
-    cols = ("band", "rep", "n", "sketch", "comp")
+    cols = ("band", "rep", "n", "sketch", "comp", "common")
     minors = m.where("minor").select(*cols, F.lit(0).alias("side"), spread("minors", 1).alias("i"), every("m").alias("j"))
     others = m.select(*cols, F.lit(1).alias("side"), every("minors").alias("i"), spread("m", 2).alias("j"))
     dealt = minors.unionByName(others).repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
-    return dealt.mapInArrow(_cross(best), "a long, b long").distinct()
+    return dealt.mapInArrow(_cross, "a long, b long, d int")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -244,26 +305,35 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     rows = cut(texts.mapInArrow(_signatures, "id long, n long, key binary, bands array<bigint>, sketch binary"))
     linkable = rows.where("key is not null and id is not null")
+    repeated = linkable.groupBy("id").count().where("count > 1").limit(1).count() > 0
     classes = cut(linkable.groupBy("key").agg(F.min(F.struct("id", "n", "bands", "sketch")).alias("x")).select("key", F.col("x.id").alias("rep"), "x.n", "x.bands", "x.sketch"))
     banded = classes.select(F.explode("bands").alias("band"), "rep", "n", "sketch")
-    met = banded.repartition("band").sortWithinPartitions("band", F.xxhash64("rep")).mapInArrow(_first_meetings, "kind int, a long, b long")
-    met = cut(met.distinct())
-    tested = met.where("kind = 0 and a != b").select("a", "b")
-    links = cut(confirmed(tested, texts))
-    crowded = cut(met.where("kind = 1").select(F.col("a").alias("band")))
+    pairs = "kind int, a long, b long, d int"
+    met = banded.withColumn("comp", F.lit(-1).cast("long")).repartition("band").sortWithinPartitions("band", F.xxhash64("rep"))
+    met = cut(met.mapInArrow(lambda batches: _meetings(batches, ALL_PAIRS, PIVOTS), pairs).distinct())
+    tested = cut(_ordered(met.where("kind = 0").select("a", "b").union(_most_alike(met.where("kind = 2").select("a", "b", "d")))))
+    group = components(confirmed(tested, texts, repeated))
+    crowded = met.where("kind = 1").select(F.col("a").alias("band"))
     n_crowded = crowded.count()
     if n_crowded:
         members = cut(banded.join(F.broadcast(crowded) if n_crowded <= 200_000 else crowded, "band", "left_semi"))
-        for best in (2, 2, 2, None):
-            m = _crowded_members(members, links)
+        profiles = None
+        for most_alike in (True, False):
+            m = _crowded_members(members, group)
             if m is None:
                 break
-            new = cut(_blocks(m, best).join(tested, ["a", "b"], "left_anti"))
-            if not new.limit(1).count():
-                continue
-            tested = cut(tested.unionByName(new))
-            links = cut(links.unionByName(confirmed(new, texts)))
-    group = components(links)
+            if profiles is None:
+                some = _only(texts, cut(m.select(F.col("rep").alias("node")).distinct()), repeated)
+                known, many = common_shingles(some)
+                profiles = cut(some.mapInArrow(_profiles(docs.sparkSession.sparkContext.broadcast(known)), "id long, common long, rare array<bigint>"))
+            m = cut(m.join(profiles, F.col("rep") == F.col("id")))
+            rare = m.dropDuplicates(["rep"]).select(F.explode("rare").alias("band"), "rep", "n", "sketch", "comp").repartition("band").sortWithinPartitions("band", "rep")
+            by_rare = rare.mapInArrow(lambda batches, many=many: _meetings(batches, many, 0), pairs).where("kind = 0").select("a", "b", "d")
+            found = _blocks(m).unionByName(by_rare).unionByName(by_rare.select(F.col("b").alias("a"), F.col("a").alias("b"), "d"))
+            new = cut((_most_alike(found) if most_alike else _ordered(found)).join(tested, ["a", "b"], "left_anti"))
+            links = cut(confirmed(new, texts, repeated))
+            tested = tested.unionByName(new)
+            group = components(group.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links))
     info = cut(classes.join(group, F.col("rep") == F.col("node"), "left").select("key", F.coalesce("root", "rep").alias("component_id")))
     out = rows.select("id", "n", F.when(F.col("id").isNotNull(), F.col("key")).alias("key")).join(info, "key", "left")
     out = out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
