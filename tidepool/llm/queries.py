@@ -65,4 +65,19 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_token_counts, op2_near_dedup, op3_secret_scan, op4_projected_search, op5_url_filter, op6_lattice_dedup, op7_language_id, op8_mix_sources, op9_byte_bpe, op10_quality)}
-ORACLE_SQL: dict[str, str] = {}
+_COMPONENTS = """sides AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach(a, b) AS (SELECT a, b FROM sides UNION SELECT r.a, e.b FROM reach r JOIN sides e ON e.a = r.b),
+comp AS (SELECT a, min(least(a, b)) AS component_id FROM reach GROUP BY a)"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op2_near_dedup": f"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+d AS (SELECT doc_id, CASE WHEN len(ws) >= 5 THEN list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END AS sh FROM w),
+s AS (SELECT doc_id, len(sh) AS n, hash(unnest(sh)) AS x FROM d),
+links AS (SELECT p.doc_id AS a, q.doc_id AS b FROM s p JOIN s q ON p.x = q.x AND p.doc_id < q.doc_id GROUP BY p.doc_id, q.doc_id, p.n, q.n HAVING 100 * count(*) >= 75 * (p.n + q.n - count(*))),
+{_COMPONENTS}
+SELECT doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, coalesce(component_id, doc_id) AS component_id, doc_id = coalesce(component_id, doc_id) AS kept FROM d LEFT JOIN comp ON a = doc_id""",
+    "op6_lattice_dedup": f"""WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+links AS (SELECT p.vec_id AS a, q.vec_id AS b FROM v p JOIN v q ON p.vec_id < q.vec_id AND list_cosine_similarity(p.e, q.e) >= 0.95),
+{_COMPONENTS}, n AS (SELECT a, count(*) AS n FROM sides GROUP BY a)
+SELECT vec_id, coalesce(n.n, 0) AS n_links, coalesce(component_id, vec_id) AS component_id, vec_id = coalesce(component_id, vec_id) AS kept FROM v LEFT JOIN comp ON comp.a = vec_id LEFT JOIN n ON n.a = vec_id""",
+}
