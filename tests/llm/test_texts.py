@@ -167,6 +167,22 @@ def test_near_duplicates(docs):
     assert all(kept[i] == (root[i] == i) for i in root) and kept[None] == 1
 
 
+def test_odd_sketches_estimate_similarity():
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    for share in (0.75, 0.9, 1.0):
+        x = rng.integers(0, 2**63, 2000, dtype=np.uint64)
+        found = []
+        for _ in range(12):
+            k = round(2000 * 2 * share / (1 + share))
+            y = np.concatenate([rng.permutation(x)[:k], rng.integers(0, 2**63, 2000 - k, dtype=np.uint64)])
+            s = near_dedup.minhash(np.concatenate([x, y]), np.array([2000, 2000]))
+            a, b = near_dedup.odd_sketch(s)
+            found.append(near_dedup.similarity(np.bitwise_count(a ^ b).sum(dtype=int)))
+        assert abs(np.mean(found) - share) < 0.05
+
+
 def test_crowded_buckets_lose_no_link(spark):
     """One passage with many different edits: far more members than a bucket compares pairwise."""
     import random
