@@ -185,24 +185,41 @@ def _meetings(batches, all_pairs: int, pivots: int):
         held = tuple(x[at : at + all_pairs].copy() for x in (band, rep, n, sk, comp))
 
 
-def _cross(batches):
-    """Meetings of the minor members (side 0, in a) with the members of a block (side 1, in b) of other components."""
-    for _, t in _groups(batches, ("band", "i", "j")):
-        side = t["side"].to_numpy()
-        x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        if not len(x) or not len(y):
-            continue
-        rep, comp, n, common, sk = t["rep"].to_numpy(), t["comp"].to_numpy(), t["n"].to_numpy(), t["common"].to_numpy(), _sketch_matrix(t["sketch"])
-        a, b, ds = [], [], []
-        for i in x:
-            d, ok = _alike(sk[y], sk[i], n[y], n[i])
-            ok = np.flatnonzero(ok & (comp[y] != comp[i]) & (7 * np.minimum(common[y], common[i]) >= 3 * (n[y] + n[i])))
-            a.append(np.full(len(ok), rep[i]))
-            b.append(rep[y[ok]])
-            ds.append(d[ok])
-        a, b, d = np.concatenate(a), np.concatenate(b), np.concatenate(ds)
-        if len(a):
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(d, pa.int32())], ["a", "b", "d"])
+def _cross(most_alike: bool):
+    """Meetings of minor members (side 0, in a) with the members of a block (side 1, in b) of other components.
+
+    A pair that shares several buckets meets in the first of them. Either each minor member's most alike
+    partner of the block, or all pairs, once each.
+    """
+
+    def run(batches):
+        for (band, _, _), t in _groups(batches, ("band", "i", "j")):
+            side = t["side"].to_numpy()
+            x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+            if not len(x) or not len(y):
+                continue
+            rep, comp, n, common, sk = t["rep"].to_numpy(), t["comp"].to_numpy(), t["n"].to_numpy(), t["common"].to_numpy(), _sketch_matrix(t["sketch"])
+            bands = t["bands"].combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+            minor = t["minor"].to_numpy()
+            before = int(np.argmax(bands[0] == band))
+            a, b, ds = [], [], []
+            for i in x:
+                d, ok = _alike(sk[y], sk[i], n[y], n[i])
+                ok &= (comp[y] != comp[i]) & (7 * np.minimum(common[y], common[i]) >= 3 * (n[y] + n[i]))
+                if not most_alike:
+                    ok &= ~minor[y] | (rep[i] < rep[y])
+                ok = np.flatnonzero(ok)
+                ok = ok[~(bands[y[ok], :before] == bands[i, :before]).any(1)]
+                if most_alike and len(ok):
+                    ok = ok[[int(d[ok].argmin())]]
+                a.append(np.full(len(ok), rep[i]))
+                b.append(rep[y[ok]])
+                ds.append(d[ok])
+            a, b, d = np.concatenate(a), np.concatenate(b), np.concatenate(ds)
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(d, pa.int32())], ["a", "b", "d"])
+
+    return run
 
 
 def _shingles(batches):
@@ -276,7 +293,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, repeated: bool) -> DataFrame:
 
 
 def _crowded_members(members: DataFrame, group: DataFrame) -> DataFrame | None:
-    """Members of crowded buckets that hold several components: band, rep, n, sketch, comp, minor; None if there are none."""
+    """Members of crowded buckets that hold several components: their columns, comp and minor; None if there are none."""
     m = members.join(group, F.col("rep") == F.col("node"), "left").withColumn("comp", F.coalesce("root", "rep")).drop("node", "root")
     per = m.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("k"))
     per = cut(per.groupBy("band").agg(F.max(F.struct("k", "comp")).alias("main"), F.sum("k").alias("m"), F.count(F.lit(1)).alias("comps")).where("comps > 1"))
@@ -288,16 +305,16 @@ def _crowded_members(members: DataFrame, group: DataFrame) -> DataFrame | None:
     return m.withColumn("minor", F.col("comp") != F.col("main"))
 
 
-def _blocks(m: DataFrame) -> DataFrame:
+def _blocks(m: DataFrame, most_alike: bool) -> DataFrame:
     """a, b, d: minor members (a) with members of other components (b) that common shingles may link, in blocks of both."""
     rows = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
     spread = lambda n, seed: F.pmod(F.xxhash64("rep", F.lit(seed)), rows(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), rows(n) - 1))
-    cols = ("band", "rep", "n", "sketch", "comp", "common")
+    cols = ("band", "rep", "n", "sketch", "bands", "comp", "common", "minor")
     minors = m.where("minor").select(*cols, F.lit(0).alias("side"), spread("minors", 1).alias("i"), every("m").alias("j"))
     others = m.select(*cols, F.lit(1).alias("side"), every("minors").alias("i"), spread("m", 2).alias("j"))
     dealt = minors.unionByName(others).repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
-    return dealt.mapInArrow(_cross, "a long, b long, d int")
+    return dealt.mapInArrow(_cross(most_alike), "a long, b long, d int")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -316,7 +333,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     crowded = met.where("kind = 1").select(F.col("a").alias("band"))
     n_crowded = crowded.count()
     if n_crowded:
-        members = cut(banded.join(F.broadcast(crowded) if n_crowded <= 200_000 else crowded, "band", "left_semi"))
+        with_bands = classes.select(F.explode("bands").alias("band"), "rep", "n", "sketch", "bands")
+        members = cut(with_bands.join(F.broadcast(crowded) if n_crowded <= 200_000 else crowded, "band", "left_semi"))
         profiles = None
         for most_alike in (True, False):
             m = _crowded_members(members, group)
@@ -329,7 +347,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             m = cut(m.join(profiles, F.col("rep") == F.col("id")))
             rare = m.dropDuplicates(["rep"]).select(F.explode("rare").alias("band"), "rep", "n", "sketch", "comp").repartition("band").sortWithinPartitions("band", "rep")
             by_rare = rare.mapInArrow(lambda batches, many=many: _meetings(batches, many, 0), pairs).where("kind = 0").select("a", "b", "d")
-            found = _blocks(m).unionByName(by_rare).unionByName(by_rare.select(F.col("b").alias("a"), F.col("a").alias("b"), "d"))
+            found = _blocks(m, most_alike).unionByName(by_rare).unionByName(by_rare.select(F.col("b").alias("a"), F.col("a").alias("b"), "d"))
             new = cut((_most_alike(found) if most_alike else _ordered(found)).join(tested, ["a", "b"], "left_anti"))
             links = cut(confirmed(new, texts, repeated))
             tested = tested.unionByName(new)
