@@ -107,7 +107,7 @@ def word_scores(model: dict, word: str) -> np.ndarray:
             if (g := grams.get(s[i : i + k])) is not None:
                 found.append(g)
                 break
-    return np.mean(found, axis=0) if found else np.zeros(len(model["langs"]))
+    return sum(found[1:], found[0]) / len(found) if found else np.zeros(len(model["langs"]))
 
 
 def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -119,11 +119,15 @@ def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
         if made is None or made[0] != name:
             m = shared.value
 
-            def vector(piece: str) -> np.ndarray:
-                ws = words_of(piece)
-                return np.array([len(ws), *sum((word_scores(m, w) for w in ws), np.zeros(len(m["langs"])))])
+            def vectors(pieces: list[str]) -> np.ndarray:
+                out = np.zeros((len(pieces), len(m["langs"]) + 1))
+                for row, piece in zip(out, pieces, strict=True):
+                    for w in words_of(piece):
+                        row[0] += 1
+                        row[1:] += word_scores(m, w)
+                return out
 
-            made = _WORKER["sums"] = (name, m["langs"], PieceSums(vector, len(m["langs"]) + 1))
+            made = _WORKER["sums"] = (name, m["langs"], PieceSums(vectors, len(m["langs"]) + 1))
         _, langs, sums = made
         for batch in slices(batches):
             s = sums.sums(batch.column(1).to_pylist())

@@ -7,10 +7,10 @@ import numpy as np
 
 
 class PieceSums:
-    """vector(piece) -> a row of `width` numbers; texts are cut at white space into pieces."""
+    """vectors(pieces) -> a row of `width` numbers for each; texts are cut at white space into pieces."""
 
-    def __init__(self, vector: Callable[[str], np.ndarray], width: int, most: int = 500_000):
-        self.vector, self.width, self.most = vector, width, most
+    def __init__(self, vectors: Callable[[list[str]], np.ndarray], width: int, most: int = 500_000):
+        self.vectors, self.width, self.most = vectors, width, most
         self._clear()
 
     def _clear(self) -> None:
@@ -21,9 +21,9 @@ class PieceSums:
         n = len(self.at)
         if n + len(new) > len(self.rows):
             self.rows = np.concatenate([self.rows, np.zeros((max(len(self.rows), len(new)), self.width))])
-        for i, p in enumerate(new, n):
-            self.at[p] = i
-            self.rows[i] = self.vector(p)
+        if new:
+            self.rows[n : n + len(new)] = self.vectors(new)
+            self.at.update(zip(new, range(n, n + len(new)), strict=True))
 
     def sums(self, texts: list[str | None]) -> np.ndarray:
         """A row for each text: the sum of its pieces' vectors (zeros for none)."""
@@ -36,7 +36,7 @@ class PieceSums:
             new = need
         long = [p for p in new if len(p) > 64]
         self._learn([p for p in new if len(p) <= 64])
-        beyond = {p: self.vector(p) for p in long}
+        beyond = dict(zip(long, self.vectors(long), strict=True)) if long else {}
         get = self.at.__getitem__
         for i, parts in enumerate(cut):
             if beyond:

@@ -24,36 +24,45 @@ from pyspark.sql import DataFrame, functions as F
 from .common import slices
 from .language_id import bounded, held_out
 from .piece_sums import PieceSums
+from .shingles import mix
 
 _WORKER: dict = {}
 BUCKETS = 1 << 14
 DIMENSION = 8
 
 
-def word_features(word: str) -> list[int]:
-    """The word's bucket and those of its n-grams."""
-    out = [zlib.crc32(b"w" + word.encode()) % BUCKETS]
-    s = f"<{word}>"
+def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of all words' features, and for each the place of its word: the word's own and its n-grams'."""
+    at = np.arange(len(words))
+    own = np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words), np.uint64, len(words))
+    buckets, of = [own % np.uint64(BUCKETS)], [at]
+    c = np.frombuffer("".join(f"<{w}>" for w in words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    word = np.repeat(at, np.fromiter((len(w) + 2 for w in words), np.int64, len(words)))
     for k in (3, 4, 5):
-        out += [zlib.crc32(s[i : i + k].encode()) % BUCKETS for i in range(len(s) - k + 1)]
-    return out
+        n = len(c) - k + 1
+        if n <= 0:
+            continue
+        h = np.full(n, k, np.uint64)
+        for j in range(k):
+            h = h * np.uint64(0x9E3779B97F4A7C15) + c[j : j + n]
+        inside = word[:n] == word[k - 1 :]
+        buckets.append(mix(h[inside]) % np.uint64(BUCKETS))
+        of.append(word[:n][inside])
+    return np.concatenate(buckets).astype(np.int64), np.concatenate(of)
 
 
 def _bucket_counts(batches):
-    kept: dict[str, np.ndarray] = {}
-    for batch in slices(batches):
+    for batch in slices(batches, 64):
+        texts = [(x or "").split() for x in batch.column(1).to_pylist()]
+        place: dict[str, int] = {}
+        for ws in texts:
+            for w in ws:
+                place.setdefault(w, len(place))
+        buckets, of = features(list(place))
         ids, counts = [], []
-        for text in batch.column(1).to_pylist():
-            n = np.zeros(BUCKETS, np.int64)
-            for w in (text or "").split():
-                f = kept.get(w)
-                if f is None:
-                    f = np.array(word_features(w))
-                    if len(w) <= 64:
-                        if len(kept) > 50_000:
-                            kept.clear()
-                        kept[w] = f
-                np.add.at(n, f, 1)
+        for ws in texts:
+            often = np.bincount(np.fromiter(map(place.__getitem__, ws), np.int64, len(ws)), minlength=len(place)) if ws else np.zeros(len(place))
+            n = np.bincount(buckets, often[of], BUCKETS)
             at = np.flatnonzero(n)
             ids.append(at.astype(np.int32))
             counts.append(n[at].astype(np.float32))
@@ -107,11 +116,11 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_i
         if made is None or made[0] != name:
             odds, bias = shared.value
 
-            def vector(piece: str) -> np.ndarray:
-                f = word_features(piece)
-                return np.array([odds[f].sum(), len(f)])
+            def vectors(pieces: list[str]) -> np.ndarray:
+                buckets, of = features(pieces)
+                return np.stack([np.bincount(of, odds[buckets], len(pieces)), np.bincount(of, minlength=len(pieces))], 1)
 
-            made = _WORKER["sums"] = (name, bias, PieceSums(vector, 2))
+            made = _WORKER["sums"] = (name, bias, PieceSums(vectors, 2))
         _, bias, sums = made
         for batch in slices(batches):
             s = sums.sums(batch.column(batch.num_columns - 1).to_pylist())
