@@ -15,8 +15,9 @@ Points of a block are held once (bounded by BLOCK); queries stream past them.
 
 Defined results: vectors that are null, zero or hold null or non-finite components take no part,
 as queries or candidates; a candidate of another length than the query's is none; a query's own id
-is never its neighbour; ties go to the smaller id; fewer than k candidates are all returned; an
-empty table gives an empty result; other columns are ignored.
+is never its neighbour; ties go to the smaller id; fewer than k candidates are all returned;
+rows that repeat an id and its vector count once as a candidate and once as a query; an empty table gives an empty
+result; other columns are ignored.
 """
 from __future__ import annotations
 
@@ -110,8 +111,8 @@ class Tree:
             stack += [g[by[len(g) // 2 :]], g[by[: len(g) // 2]]]
         o = np.concatenate(order)
         self.ids, self.x, self.p = ids[o], x[o], p[o]
-        self.norms = (self.x * self.x).sum(1)
         self.ends = np.array(self.ends)
+        self.rows = [np.arange(a, b) for a, b in zip(self.ends[:-1], self.ends[1:], strict=True)]
         starts = self.ends[:-1]
         self.low, self.high = np.minimum.reduceat(self.p, starts), np.maximum.reduceat(self.p, starts)
 
@@ -123,19 +124,20 @@ class Tree:
         for i in range(len(ids)):
             kth, base = bound[i], float(x[i] @ x[i]) + top
             found_id, found = np.zeros(0, np.int64), np.zeros(0)
-            at, step, leaves = 0, 4, near[i]
+            at, step, leaves = 0, 32 if np.isfinite(kth) else 4, near[i]
             while at < len(leaves) and gaps[i, leaves[at]] < c * kth:
                 take = leaves[at : at + step]
                 take = take[gaps[i, take] < c * kth]
                 at, step = at + step, step * 2
-                rows = np.concatenate([np.arange(self.ends[t], self.ends[t + 1]) for t in take])
-                d = self.p[rows] - p[i]
-                rows = rows[(d * d).sum(1) < c * kth] if np.isfinite(kth) else rows
-                rows = rows[self.ids[rows] != ids[i]]
-                if not len(rows):
-                    continue
+                rows = np.concatenate([self.rows[t] for t in take])
+                if np.isfinite(kth):
+                    d = self.p[rows] - p[i]
+                    rows = rows[np.einsum("ij,ij->i", d, d) < c * kth]
                 s = self.x[rows] @ x[i]
-                found_id, found = np.concatenate([found_id, self.ids[rows]]), np.concatenate([found, s])
+                near_enough = (s >= (base - kth) / 2 - 1e-9) & (self.ids[rows] != ids[i])
+                if not near_enough.any():
+                    continue
+                found_id, found = np.concatenate([found_id, self.ids[rows[near_enough]]]), np.concatenate([found, s[near_enough]])
                 if len(found) > k:
                     o = np.lexsort((found_id, -found))[:k]
                     found_id, found = found_id[o], found[o]
@@ -302,11 +304,13 @@ def nearest_inner_product(
         return both.repartition("width", "part").sortWithinPartitions("width", "part", "kind").mapInArrow(searched, "query_id long, vec_id long, score double, d2 double")
 
     asked = asked.dropDuplicates(["id"])
-    near = meet(asked.select("id", "v", "width").mapInArrow(routed(True), _PLACED))
+    near = cut(meet(asked.select("id", "v", "width").mapInArrow(routed(True), _PLACED)))
     bounds = near.groupBy("query_id").agg(F.max("d2").alias("d2"), F.count(F.lit(1)).alias("n"))
     bounds = bounds.select("query_id", F.when(F.col("n") >= k, F.col("d2") * (1 + 1e-9) + 1e-9).otherwise(F.lit(float("inf"))).alias("bound"))
     limited = asked.join(bounds, F.col("id") == F.col("query_id"), "left").select("id", "v", "width", F.coalesce("bound", F.lit(float("inf"))).alias("bound"))
-    found = meet(limited.mapInArrow(routed(False), _PLACED))
+    # what set a query's bound may itself lie beyond the test's reach in the second round
+    found = meet(limited.mapInArrow(routed(False), _PLACED)).unionByName(near)
+    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
