@@ -52,10 +52,10 @@ def frequent_pieces(docs: DataFrame, text_col: str, size: int) -> list[str]:
     ).where("length(w) between 1 and 64")
     tracked = 4 * size
     by_group = words.groupBy("g").agg(F.expr(f"approx_top_k_accumulate(w, {tracked})").alias("s"))
-    top = by_group.agg(F.expr(f"approx_top_k_combine(s, {tracked})").alias("s")).select(
-        F.expr(f"approx_top_k_estimate(s, {size})").alias("top")
-    ).collect()[0][0]
-    return [x["item"] for x in top or [] if x["item"]]
+    # by a key that is 0 throughout: a task without rows then makes no sketch, which combining could not read
+    merged = by_group.groupBy((F.col("g") % 1).alias("z")).agg(F.expr(f"approx_top_k_combine(s, {tracked})").alias("s"))
+    top = merged.select(F.expr(f"approx_top_k_estimate(s, {size})").alias("top")).collect()
+    return [x["item"] for row in top for x in row["top"] or [] if x["item"]]
 
 
 def frequent_table(t, words: list[str]) -> dict[str, int]:
