@@ -35,3 +35,10 @@ def test_query(spark, con, name):
     columns = [c[0] for c in want.description]
     assert sorted(columns) == sorted(df.columns)
     assert rows(columns, want.fetchall()) == rows(df.columns, got)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
+def test_successors_of_every_order(spark):
+    got = catalogue.QUERIES["key_successors_all"](spark, SF).collect()
+    assert len(got) == spark.read.parquet(f"{SF}/orders.parquet").count()
+    assert {(r["after_hex"], r["next_hex"]) for r in got if r["after_hex"] == "4F00"} == {("4F00", "50")}  # 'O' carries

@@ -148,6 +148,13 @@ def key_successors(spark, d):
     return o.select("o_orderkey", F.hex(keys.key_after_col(F.col("k"))).alias("after_hex"), F.hex(keys.strinc_col(F.col("k"))).alias("next_hex"))
 
 
+@query("SELECT o_orderkey, hex(o_orderstatus) || '00' AS after_hex, printf('%02X', ascii(o_orderstatus) + 1) AS next_hex FROM orders")
+def key_successors_all(spark, d):
+    """key_successors over every order, with those whose successor carries into the upper half of the byte."""
+    o = table(spark, d, "orders").select("o_orderkey", F.col("o_orderstatus").cast("binary").alias("k"))
+    return o.select("o_orderkey", F.hex(keys.key_after_col(F.col("k"))).alias("after_hex"), F.hex(keys.strinc_col(F.col("k"))).alias("next_hex"))
+
+
 # Ranges
 
 
