@@ -167,6 +167,14 @@ def test_near_duplicates(docs):
     assert all(kept[i] == (root[i] == i) for i in root) and kept[None] == 1
 
 
+def test_null_and_shared_ids_survive_a_repeated_row(spark):
+    words = lambda c: " ".join(f"{c}{i}" for i in range(30))
+    rows = [(None, words("a")), (None, words("b")), (None, words("b")), (None, None), (7, words("c")), (7, words("c")), (8, words("d")), (8, words("e")), (9, words("e")), (9, words("f")), (3, words("f"))]
+    out = near_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    want = [(None, words("a")), (None, words("b")), (None, words("b")), (None, None), (7, words("c")), (8, words("d")), (8, words("e")), (3, words("f"))]
+    assert collections.Counter(map(tuple, out.collect())) == collections.Counter(want)
+
+
 def test_odd_sketches_estimate_similarity():
     import numpy as np
 

@@ -32,7 +32,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from .common import cut
+from .common import cut, written
 from .components import components
 from .lattice_dedup import _groups
 from .shingles import U, mix, shingle_sets
@@ -359,11 +359,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one document of each group of near-duplicates."""
-    found = near_duplicates(docs, id_col, text_col)
-    drop = cut(found.where("not kept").select(F.col(id_col).alias("__drop")).distinct())
+    """docs with one document of each group of near-duplicates; rows of one id with different texts are documents of
+    their own, equal ones are one, and every row without an id stays."""
+    named = docs.where(F.col(id_col).isNotNull())
+    if not named.select(F.col(id_col).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():
+        return _without_copies(docs, id_col, text_col)
+    # ids repeat: numbers in the order of the ids stand for id and text
+    rows = named.select(F.struct(*docs.columns).alias("doc"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(text_col).alias("th"))
+    rows = rows.dropDuplicates(["id", "th"]).repartitionByRange("id", "th").sortWithinPartitions("id", "th")
+    rows = written(rows.select("doc", "text", F.monotonically_increasing_id().alias("num")), "near-dedup")
+    return _without_copies(rows, "num", "text").select("doc.*").union(docs.where(F.col(id_col).isNull()))
+
+
+def _without_copies(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """docs, whose ids are null or unique, without those that are not kept."""
+    drop = cut(near_duplicates(docs, id_col, text_col).where("not kept").select(F.col(id_col).alias("__drop")).distinct())
     n = drop.count()
-    out = docs.join(F.broadcast(drop) if n <= 2_000_000 else drop, F.col(id_col) == F.col("__drop"), "left_anti")
-    if found.where("kept").groupBy(id_col).count().where(F.col(id_col).isNotNull() & (F.col("count") > 1)).limit(1).count():
-        out = out.dropDuplicates([id_col])  # equal rows: the id is the smallest of its group, but stands on several rows
-    return out
+    return docs.join(F.broadcast(drop) if n <= 2_000_000 else drop, F.col(id_col) == F.col("__drop"), "left_anti")
