@@ -121,6 +121,30 @@ def test_secrets_are_confirmed_by_structure():
     assert kinds("-----BEGIN RSA PRIVATE KEY-----\nnot a key\n-----END RSA PRIVATE KEY-----") == []
 
 
+PEM_KEY = der(0x30, der(2, b"\x00") + b"".join(der(2, bytes([7] * 40)) for _ in range(8)))
+PEM_LINES = [base64.b64encode(PEM_KEY).decode()[i : i + 64] for i in range(0, 480, 64)]
+
+
+@pytest.mark.parametrize("inside", [
+    "\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123-4567\n\nq83v\n",  # legacy encryption
+    "\nComment: an-old-key\nX-Note: one\n two\n\n" + "\n".join(PEM_LINES) + "\n",
+    "\\n" + "\\n".join(PEM_LINES) + "\\n", "\\r\\n" + "\\r\\n".join(PEM_LINES) + "\\r\\n", "\\\\n" + "\\\\n".join(PEM_LINES) + "\\\\n", "\r\n" + "\r\n".join(PEM_LINES) + "\r\n",
+])
+def test_pem_blocks_with_headers_or_escapes(inside):
+    text = f'x "-----BEGIN RSA PRIVATE KEY-----{inside}-----END RSA PRIVATE KEY-----" y'
+    assert secret_scan.masked(text, secret_scan.spans_of(text)) == 'x "<pem>" y'
+    lone = "-----BEGIN RSA PRIVATE KEY-----\ncut off\n"
+    assert secret_scan.masked(lone + text, secret_scan.spans_of(lone + text)) == lone + 'x "<pem>" y'
+
+
+def test_dsa_keys():
+    dsa = der(0x30, der(2, b"\x00") + b"".join(der(2, bytes([5] * n)) for n in (256, 20, 256, 256, 20)))
+    b64 = base64.b64encode(dsa).decode()
+    assert [k for _, _, k in secret_scan.spans_of(f"see {b64} there") if k not in secret_scan.BASE] == ["der"]
+    text = f"-----BEGIN DSA PRIVATE KEY-----\n{b64}\n-----END DSA PRIVATE KEY-----"
+    assert secret_scan.masked(text, secret_scan.spans_of(text)) == "<pem>"
+
+
 def test_redaction(docs):
     out = secret_scan.redact(docs)
     assert out.columns == docs.columns and out.count() == docs.count()

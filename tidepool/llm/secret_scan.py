@@ -6,7 +6,8 @@ Structural kinds, reported only once the decoded bytes parse:
 - der: base64 or hex of a DER private key; every nested length must fill its parent exactly.
 - ssh: base64 of an OpenSSH private key; magic, then length-prefixed fields within bounds.
 - jwt: three base64url parts, a JSON header that names an algorithm, a JSON object as payload.
-- pem: a BEGIN ... PRIVATE KEY block whose body decodes to one of the above, or is encrypted.
+- pem: a BEGIN ... PRIVATE KEY block whose body decodes to one of the above, or is encrypted; its
+  line ends may be escaped, as in JSON or code, and RFC 1421 headers may stand before the key.
 
 Defined results: a null or empty text has no spans; repeated rows each give a row; an empty table
 gives an empty result; other columns are ignored. Offsets count code points, ends are exclusive.
@@ -34,7 +35,8 @@ _HEX = re.compile(r"[0-9a-f]{16,}")
 _HEX_ANY = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){32,}(?![0-9A-Fa-f])")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
 _JWT = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([^-]*)-----END \1-----")
+# a body goes on to the next BEGIN or END, so that blocks without an END cost no more than their length
+_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----((?:[^-]++|-(?!----(?:BEGIN|END) ))*+)-----END \1-----")
 #: Fixed value: what an OpenSSH private key starts with.
 _SSH_MAGIC = b"openssh-key-v1\x00"
 
@@ -76,7 +78,7 @@ def _members(b: bytes, at: int, end: int) -> list[tuple[int, int, int]] | None:
 
 
 def is_der_key(b: bytes) -> bool:
-    """A DER private key: RSA (nine integers), EC (version, octets) or wrapped (version, algorithm, octets)."""
+    """A DER private key: RSA (nine integers), DSA (six, version 0), EC (version, octets) or wrapped (version, algorithm, octets)."""
     top = _element(b, 0, len(b))
     if top is None or top[0] != 0x30 or top[2] != len(b):
         return False
@@ -84,7 +86,7 @@ def is_der_key(b: bytes) -> bool:
     if not m or m[0][0] != 2 or m[0][2] - m[0][1] != 1:
         return False
     tags = [x[0] for x in m]
-    if tags[:9] == [2] * 9:
+    if tags[:9] == [2] * 9 or (tags == [2] * 6 and b[m[0][1]] == 0):
         return True
     if tags[:2] == [2, 4] and m[1][2] - m[1][1] >= 16:
         return True
@@ -136,6 +138,17 @@ def key_kind(b: bytes | None) -> str | None:
     return "der" if is_der_key(b) else "ssh" if is_ssh_key(b) else None
 
 
+def pem_bodies(body: str) -> list[str]:
+    """What may be the base64 of a PEM body: without escapes, then without the lines or the paragraph of headers."""
+    body = re.sub(r"\\+r\\+n|\\+[rn]|\r\n?", "\n", body)
+    body = re.sub(r"\\+t", "\t", re.sub(r"\\+/", "/", body))
+    if ":" not in body:
+        return [body]
+    lines = [x.strip() for x in body.strip().split("\n")]
+    after = lines[lines.index("") + 1 :] if "" in lines else []
+    return ["\n".join(x for x in lines if ":" not in x), "\n".join(after)]
+
+
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     out = []
     low = text.lower()
@@ -151,7 +164,7 @@ def structural_spans(text: str) -> list[tuple[int, int, str]]:
     if "PRIVATE KEY-----" in text:
         for m in _PEM.finditer(text):
             body = m.group(2)
-            if key_kind(decode64(body)) or "ENCRYPTED" in m.group(1) + body:
+            if "ENCRYPTED" in m.group(1) + body or any(key_kind(decode64(x)) for x in pem_bodies(body)):
                 out.append((m.start(), m.end(), "pem"))
     if "eyJ" in text:
         out += [(m.start(), m.end(), "jwt") for m in _JWT.finditer(text) if is_signed_token(m.group(0))]
