@@ -120,3 +120,16 @@ def test_few_candidates(spark):
     rows = projected_search.nearest_inner_product(df, df.where("vec_id % 20 = 0")).collect()
     assert sorted((r["query_id"], r["vec_id"]) for r in rows) == [(0, 1), (0, 2)]
     assert projected_search.nearest_inner_product(df.limit(0), df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("block", [8192, 50])
+def test_repeated_candidates_push_out_none(spark, block):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(200, 16)).astype(np.float32).astype(float)
+    near = 3 * x[0]
+    df = frame(spark, x)
+    copies = spark.createDataFrame([(500, near.tolist(), "c", "d")] * 45 + [(501, (near * (1 + i / 100)).tolist(), "c", "d") for i in range(45)], df.schema)
+    rows = projected_search.nearest_inner_product(df.union(copies).repartition(3), df.where("vec_id = 0"), block=block, stop=0.999999).collect()
+    s = {i: float(x[i] @ x[0]) for i in range(1, 200)} | {500: float(near @ x[0]), 501: float(near @ x[0]) * 1.44}
+    want = sorted(s, key=lambda i: (-s[i], i))[:20]
+    assert [r["vec_id"] for r in sorted(rows, key=lambda r: r["rank"])] == want and want[:2] == [501, 500]

@@ -111,13 +111,14 @@ class Tree:
             stack += [g[by[len(g) // 2 :]], g[by[: len(g) // 2]]]
         o = np.concatenate(order)
         self.ids, self.x, self.p = ids[o], x[o], p[o]
+        self.repeated = len(np.unique(ids)) < len(ids)  # an id may stand on several vectors
         self.ends = np.array(self.ends)
         self.rows = [np.arange(a, b) for a, b in zip(self.ends[:-1], self.ends[1:], strict=True)]
         starts = self.ends[:-1]
         self.low, self.high = np.minimum.reduceat(self.p, starts), np.maximum.reduceat(self.p, starts)
 
     def search(self, ids: np.ndarray, x: np.ndarray, p: np.ndarray, bound: np.ndarray, top: float, k: int, c: float):
-        """For each query: ids and inner products of up to k nearest within its bound (a squared distance)."""
+        """For each query: ids, each once, and inner products of up to k nearest within its bound (a squared distance)."""
         gap = np.maximum(0, np.maximum(self.low[None] - p[:, None], p[:, None] - self.high[None]))
         gaps = (gap * gap).sum(2)
         near = np.argsort(gaps, 1, kind="stable")
@@ -138,9 +139,11 @@ class Tree:
                 if not near_enough.any():
                     continue
                 found_id, found = np.concatenate([found_id, self.ids[rows[near_enough]]]), np.concatenate([found, s[near_enough]])
-                if len(found) > k:
-                    o = np.lexsort((found_id, -found))[:k]
-                    found_id, found = found_id[o], found[o]
+                if len(found) > k or self.repeated:
+                    o = np.lexsort((found_id, -found))
+                    if self.repeated:
+                        o = o[np.sort(np.unique(found_id[o], return_index=True)[1])]
+                    found_id, found = found_id[o[:k]], found[o[:k]]
                 if len(found) >= k:
                     kth = min(kth, max(0.0, base - 2 * found.min()) * (1 + 1e-12) + 1e-12)
             yield found_id, found
@@ -162,7 +165,7 @@ def valid(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
                     s = float(x @ x)
                     if np.isfinite(s) and s > 0:
                         keep.append(i)
-                        out.append(x.tobytes())
+                        out.append((x + 0.0).tobytes())  # no negative zeros: equal vectors are equal bytes
                         width.append(len(x))
                         n2.append(s)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), pa.array(out, pa.binary()), pa.array(width, pa.int32()), pa.array(n2, pa.float64())], ["id", "v", "width", "n2"])
@@ -179,6 +182,8 @@ def nearest_inner_product(
 ) -> DataFrame:
     """query_id, rank, vec_id, score: for each row of queries its k nearest rows of vectors."""
     rows, asked = cut(valid(vectors, id_col, vector_col)), cut(valid(queries, id_col, vector_col))
+    if rows.groupBy("id").count().where("count > 1").limit(1).count():
+        rows = cut(rows.dropDuplicates(["id", "v"]))
     widths = {r["width"]: (r["n"], r["top"]) for r in rows.groupBy("width").agg(F.count(F.lit(1)).alias("n"), F.max("n2").alias("top")).collect()}
     widths_asked = {r["width"]: r["top"] for r in asked.groupBy("width").agg(F.max("n2").alias("top")).collect()}
     projection = Projection({w: max(t, 0.0) for w, (_, t) in widths.items()} | {w: t for w, t in widths_asked.items() if w not in widths})
@@ -305,7 +310,7 @@ def nearest_inner_product(
 
     asked = asked.dropDuplicates(["id"])
     near = cut(meet(asked.select("id", "v", "width").mapInArrow(routed(True), _PLACED)))
-    bounds = near.groupBy("query_id").agg(F.max("d2").alias("d2"), F.count(F.lit(1)).alias("n"))
+    bounds = near.groupBy("query_id", "vec_id").agg(F.min("d2").alias("d2")).groupBy("query_id").agg(F.max("d2").alias("d2"), F.count(F.lit(1)).alias("n"))
     bounds = bounds.select("query_id", F.when(F.col("n") >= k, F.col("d2") * (1 + 1e-9) + 1e-9).otherwise(F.lit(float("inf"))).alias("bound"))
     limited = asked.join(bounds, F.col("id") == F.col("query_id"), "left").select("id", "v", "width", F.coalesce("bound", F.lit(float("inf"))).alias("bound"))
     # what set a query's bound may itself lie beyond the test's reach in the second round
