@@ -307,6 +307,17 @@ def test_mixing(docs):
     assert sum(len((r["text"] or "").encode().split()) for r in taken.collect()) == sum(r["copies"] * r["size"] for r in rows)
 
 
+def test_mixed_rows_keep_their_source(spark):
+    rows = [(None, "one two three", f"s{i % 3}", f"l{i % 2}") for i in range(60)] + [(1, "four five six", None, "x"), (1, "four five six", "s0", "x")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").repartition(3)
+    want = collections.Counter()
+    for r in mixing.mix(d).collect():
+        want[r["id"], r["source"]] += r["copies"]
+    out = mixing.take(d).collect()
+    assert collections.Counter((r["doc_id"], r["source"]) for r in out) == +want
+    assert {r["lang"] for r in out if r["source"] == "s0"} >= {"l0", "l1"}
+
+
 def test_mixing_is_fair_and_close(spark):
     d = spark.range(6000).select(F.col("id").alias("doc_id"), F.expr("repeat('w ', 1 + int(id % 37))").alias("text"), F.expr("case when id % 3 = 0 then 'a' else concat('b', id % 2) end").alias("source"))
     rows = mixing.mix(d).collect()

@@ -131,10 +131,16 @@ def mix(
 
 def take(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The mixed documents: every row of docs as often as the mix takes it."""
-    counts = mix(docs, id_col, text_col, source_col, **options).groupBy("id", "th")
+    counts = mix(docs, id_col, text_col, source_col, **options).groupBy("id", "source", "th")
     counts = cut(counts.agg(F.sum("copies").alias("k"), F.count(F.lit(1)).alias("m")).where("k > 0"))
-    rows = docs.select(F.struct(*docs.columns).alias("doc"), F.col(id_col).alias("row_id"), F.xxhash64(text_col).alias("row_th"))
-    if counts.where("m > 1").limit(1).count():  # equal rows: keep one, the counts hold for all of them
-        rows = rows.dropDuplicates(["row_id", "row_th"])
-    met = rows.join(counts, F.col("row_id").eqNullSafe(F.col("id")) & (F.col("row_th") == F.col("th")))
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), F.col(id_col).alias("row_id"), F.col(source_col).cast("string").alias("row_source"), F.xxhash64(text_col).alias("row_th"))
+    k = F.col("k")
+    if counts.where("m > 1").limit(1).count():  # rows equal in all columns are one row that stands for n; those that differ in others share the copies
+        same = ["row_id", "row_source", "row_th"]
+        rows = rows.withColumn("h", F.xxhash64(F.to_json("doc"))).groupBy(*same, "h").agg(F.first("doc").alias("doc"), F.count(F.lit(1)).alias("n"))
+        rows = rows.withColumn("to", F.sum("n").over(Window.partitionBy(*same).orderBy("h").rowsBetween(Window.unboundedPreceding, 0)))
+        upto = lambda x: F.floor(k * x / F.col("m"))
+        k = (upto(F.col("to")) - upto(F.col("to") - F.col("n"))).cast("long")
+    met = rows.join(counts, F.col("row_id").eqNullSafe(F.col("id")) & F.col("row_source").eqNullSafe(F.col("source")) & (F.col("row_th") == F.col("th")))
+    met = met.select("doc", k.alias("k")).where("k > 0")
     return met.select("doc", F.explode(F.sequence(F.lit(1).cast("long"), "k"))).select("doc.*")
