@@ -88,6 +88,15 @@ def kv_multi_get(spark, d):
     return store.multi_get(c, table(spark, d, "orders").select(F.col("o_custkey").alias("key"), "o_orderkey")).select("o_orderkey", F.col("key").alias("o_custkey"), "found")
 
 
+@query("""WITH q AS (SELECT o_orderkey, o_custkey AS key FROM orders UNION ALL SELECT o_orderkey, -1 - o_custkey FROM orders)
+SELECT q.o_orderkey, q.key, c.c_name AS found FROM q LEFT JOIN customer c ON c.c_custkey = q.key""")
+def kv_multi_get_all(spark, d):
+    """kv_multi_get over the whole customer table; each order also asks for a key that is not there."""
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("value"))
+    asked = table(spark, d, "orders").select("o_orderkey", F.explode(F.array(F.col("o_custkey"), -1 - F.col("o_custkey"))).alias("key"))
+    return store.multi_get(c, asked).select("o_orderkey", "key", "found")
+
+
 @query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey >= 1000 AND o_orderkey < 5000")
 def kv_range_scan(spark, d):
     return table(spark, d, "orders").where(keys.contains(F.col("o_orderkey"), F.lit(1000), F.lit(5000))).select("o_orderkey", "o_custkey")
