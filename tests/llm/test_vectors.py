@@ -110,6 +110,7 @@ def test_nearest_inner_products(spark, block):
         order = [i for i in np.lexsort((np.arange(len(x)), -s)) if i != q][:20]
         hit += len({r["vec_id"] for r in found} & set(order))
         assert [r["rank"] for r in found] == list(range(1, 21))
+        assert all(r["score"] == float(projected_search.exact(x[r["vec_id"]][None], x[q])[0]) for r in found)  # to the last bit
         assert all(r["score"] == pytest.approx(s[r["vec_id"]], abs=1e-12) for r in found)
         assert all((a["score"], -a["vec_id"]) >= (b["score"], -b["vec_id"]) for a, b in zip(found, found[1:]))
     assert hit >= 0.95 * 20 * len(by)
@@ -133,3 +134,38 @@ def test_repeated_candidates_push_out_none(spark, block):
     s = {i: float(x[i] @ x[0]) for i in range(1, 200)} | {500: float(near @ x[0]), 501: float(near @ x[0]) * 1.44}
     want = sorted(s, key=lambda i: (-s[i], i))[:20]
     assert [r["vec_id"] for r in sorted(rows, key=lambda r: r["rank"])] == want and want[:2] == [501, 500]
+
+
+@pytest.mark.parametrize("block", [8192, 16])
+@pytest.mark.parametrize("copies", [21, 64])
+def test_tied_candidates_come_by_id_with_one_score(spark, block, copies):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(300, 24))
+    x[100 : 100 + copies] = 2.5 * x[0] + 0.1  # all nearer to row 0 than any other row
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(7, x[7].tolist())] * 3 + [(None, x[0].tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    seen = set()
+    for parts in (1, 5):
+        found = projected_search.nearest_inner_product(df.repartition(parts), df.where("vec_id in (0, 100, 7)"), block=block).collect()
+        by = collections.defaultdict(list)
+        for r in sorted(found, key=lambda r: r["rank"]):
+            by[r["query_id"]].append((r["vec_id"], r["score"]))
+        assert [i for i, _ in by[0]] == list(range(100, 120)) and len({s for _, s in by[0]}) == 1
+        assert [i for i, _ in by[100]] == list(range(101, 121)) and all(len(v) == 20 for v in by.values())
+        seen.add(tuple(by[0]))
+    assert len(seen) == 1
+
+
+def test_components_of_any_size_take_part(spark):
+    for big in (1e200, 1e-200):
+        x = (np.eye(5) + 1) * 2.0 ** round(np.log2(big))  # sums of whole numbers: exact ties
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+        rows = projected_search.nearest_inner_product(df, df.where("vec_id = 0")).collect()
+        assert [r["vec_id"] for r in sorted(rows, key=lambda r: r["rank"])] == [1, 2, 3, 4] and all(r["score"] == (float("inf") if big > 1 else 0.0) for r in rows)
+
+
+def test_an_id_on_several_vectors(spark):
+    df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [2.0, 0.0]), (1, [0.0, 3.0]), (2, [1.5, 0.0]), (0, [0.5, 0.0])], "vec_id long, embedding array<double>")
+    rows = {(r["query_id"], r["vec_id"], r["score"]) for r in projected_search.nearest_inner_product(df.repartition(3), df.where("vec_id = 0")).collect()}
+    v = min((np.array(a) + 0.0 for a in ([1.0, 0.0], [0.5, 0.0])), key=lambda a: a.tobytes())[0]
+    assert rows == {(0, 1, 2.0 * v), (0, 2, 1.5 * v)}

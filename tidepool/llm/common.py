@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Rows that a Python worker turns into Python objects at a time; texts may be long.
 SLICE = 256
@@ -17,11 +17,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, else one set here (single-machine tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Only a master within one machine may do without."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return folder or tempfile.mkdtemp(prefix="tidepool-")
 
 
+def sample_by_hash(rows: DataFrame, key: Column, n: int, most: int, seed: int) -> DataFrame:
+    """About `most` of the n rows, chosen by a hash of key; all of them if there are no more.
+
+    The hash is compared in 63 bits, so that the share kept is right for any n.
+    """
+    if n <= most:
+        return rows
+    return rows.where(F.shiftrightunsigned(F.xxhash64(key, F.lit(seed)), 1) < F.lit((most << 63) // n))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df with its lineage cut by a reliable checkpoint in the shared folder."""
     sc = df.sparkSession.sparkContext
