@@ -3,6 +3,9 @@ import base64
 import collections
 import hashlib
 import json
+import math
+import os
+import random
 import re
 import struct
 import zlib
@@ -13,6 +16,7 @@ from pyspark.sql import functions as F
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 from tidepool.llm import bpe, language_id, mixing, near_dedup, quality, queries, secret_scan, token_counts, url_filter  # noqa: E402
+from tidepool.llm.common import sample_by_hash  # noqa: E402
 
 JSON, RANKS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -248,13 +252,150 @@ def test_languages(docs, spark):
     assert {r["lang_pred"] for r in language_id.identify(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
-def test_language_backoff():
-    import numpy as np
+def brute_language_model(rows):
+    """rows: lang, text. Languages, and by n-gram length (0: words) the counts of each in each language."""
+    counts = [collections.defaultdict(collections.Counter) for _ in range(language_id.LONGEST + 1)]
+    for lang, text in rows:
+        for w in language_id.words_of(text):
+            counts[0][w][lang] += 1
+            s = f"^{w}$"
+            for k in range(1, language_id.LONGEST + 1):
+                for i in range(len(s) - k + 1):
+                    counts[k][s[i : i + k]][lang] += 1
+    return sorted({lang for lang, text in rows if language_id.words_of(text)}), counts
+
+
+def brute_language(model, text):
+    langs, counts = model
+    words = language_id.words_of(text or "")
+    if not words or not langs:
+        return "und", 0.0
+    total = [{x: sum(c[x] for c in t.values()) for x in langs} for t in counts]
+    log = lambda k, key: [math.log((counts[k][key][x] + 0.1) / (total[k][x] + 0.1 * len(counts[k]))) for x in langs]
+    z = [0.0] * len(langs)
+    for w in words:
+        if w in counts[0]:
+            found = [log(0, w)]
+        else:
+            s, found = f"^{w}$", []
+            for i in range(len(s)):
+                for k in range(min(language_id.LONGEST, len(s) - i), 0, -1):
+                    if s[i : i + k] in counts[k]:
+                        found.append(log(k, s[i : i + k]))
+                        break
+        z = [a + sum(f[j] for f in found) / max(1, len(found)) for j, a in enumerate(z)]
+    z = [round(a, 9) / math.sqrt(len(words)) for a in z]
+    e = [math.exp(a - max(z)) for a in z]
+    return langs[z.index(max(z))], max(e) / sum(e)
+
+
+def test_languages_against_brute_force(spark):
+    rng = random.Random(4)
+    syllables = {"aa": "ba ke lu mo ta".split(), "bb": "schi ung ber mo zei".split(), "cc": "eau \u00e9t\u00e9 oir mo ta".split()}
+    make = lambda lang, n: " ".join("".join(rng.choices(syllables[lang], k=rng.randrange(1, 4))) + rng.choice(["", ",", "-x"]) for _ in range(n))
+    rows = [(i, x := rng.choice("aa bb cc".split()), make(x, rng.randrange(1, 12))) for i in range(120)]
+    rows += [(200, "aa", make("aa", 20_000)), (201, None, make("bb", 9)), (202, "bb", "\u01c5 \u0130stanbul \u00df"), (203, "cc", "12 !?"), (204, "cc", None), (None, "cc", make("cc", 7)), (5, rows[5][1], rows[5][2])]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, text string").repartition(3)
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 4 == 2
+    model = brute_language_model([(x, t) for i, x, t in rows if x and t is not None and not held(i)])
+    got = collections.defaultdict(list)
+    for r in language_id.identify(df).collect():
+        got[r["doc_id"]].append(r)
+    for i, _, text in rows:
+        lang, score = brute_language(model, text)
+        assert all((r["lang_pred"], r["held_out"]) == (lang, held(i)) and r["score"] == pytest.approx(score, abs=1e-7) for r in got[i])
+    assert collections.Counter(i for i, *_ in rows) == {i: len(r) for i, r in got.items()}
+
+
+def test_the_bounds_on_a_sample_never_leave_none(spark):
+    df = spark.range(1000).select(F.col("id").alias("doc_id"), F.lit("en").alias("lang"), F.lit("some words here").alias("text"))
+    for bounds in ({"train_rows": 60}, {"train_chars": 900}):
+        assert {r["lang_pred"] for r in language_id.identify(df, **bounds).collect()} == {"en"}
+    kept = sample_by_hash(df, F.col("doc_id"), 4 * 10**15, 4 * 10**14, 1).count()
+    assert 60 <= kept <= 140  # a tenth, however many rows there are said to be
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="needs the driver's tables")
+def test_held_out_accuracy(spark):
+    d, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    out = language_id.identify(d).join(d.select("doc_id", "lang", "text"), "doc_id").where("held_out and lang is not null and lang_pred <> 'und'").collect()
+    assert len(out) > 200 and sum(r["lang"] == r["lang_pred"] for r in out) >= 0.95 * len(out)
+    out = quality.classify(d, labels).join(labels, "doc_id").where("held_out").collect()
+    assert len(out) > 100 and sum(r["predicted"] == r["quality"] for r in out) >= 0.9 * len(out)
+
+
+def brute_quality(rows, labels, texts, epochs=12, rate=0.5):
+    """Scores of texts by a model learned from rows (id, text) and labels {id: y}, a feature at a time."""
+    M = 2**64
+
+    def scramble(x):
+        for f in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+            x = (x ^ x >> 33) * f % M
+        return x ^ x >> 33
+
+    def buckets(text):
+        n = collections.Counter()
+        for w in (text or "").split():
+            n[zlib.crc32(w.encode()) % quality.BUCKETS] += 1
+            s = f"<{w}>"
+            for k in (3, 4, 5):
+                for i in range(len(s) - k + 1):
+                    h = k
+                    for ch in s[i : i + k]:
+                        h = (h * 0x9E3779B97F4A7C15 + ord(ch)) % M
+                    n[scramble(h) % quality.BUCKETS] += 1
+        return n
+
+    rng = np.random.default_rng(5)
+    vectors = rng.normal(0, 1 / quality.DIMENSION, (quality.BUCKETS, quality.DIMENSION))
+    output, bias, step = np.zeros((quality.DIMENSION, 2)), np.zeros(2), 0
+    data = [(labels[i], buckets(t)) for i, t in sorted(rows) if i in labels]
+    for _ in range(epochs):
+        for j in rng.permutation(len(data)):
+            y, n = data[j]
+            at, all_ = rate * (1 - step / (epochs * len(data))), max(1, sum(n.values()))
+            step += 1
+            share = {b: c / all_ for b, c in n.items()}
+            v = sum((s * vectors[b] for b, s in share.items()), np.zeros(quality.DIMENSION))
+            p = np.exp(v @ output + bias)
+            p /= p.sum()
+            p[y] -= 1
+            back, norm = output @ p, math.sqrt(max(1e-12, sum(s * s for s in share.values())))
+            output -= at * np.outer(v, p)
+            bias -= at * 0.1 * p
+            for b, s in share.items():
+                vectors[b] -= at * s / norm * back
+    out = []
+    for t in texts:
+        n = buckets(t)
+        z = sum((c * vectors[b] for b, c in n.items()), np.zeros(quality.DIMENSION)) / max(1, sum(n.values())) @ output + bias
+        out.append(1 / (1 + math.exp(z[0] - z[1])))
+    return out
+
+
+def test_quality_against_brute_force(spark):
+    rng = random.Random(9)
+    words = {1: "the sea and a quiet hill near \u00e9t\u00e9".split(), 0: "BUY!!! click $$$ xx| now \U0001f600".split()}
+    rows = [(i, " ".join(rng.choices(words[int(i % 3 > 0)], k=rng.randrange(1, 15)))) for i in range(60)] + [(100, None), (101, ""), (102, "sea " * 3000), (103, "  ")]
+    labels = {i: int(i % 3 > 0) for i in range(0, 60, 2)} | {100: 0}
+    df = spark.createDataFrame(rows + [rows[3], (None, "a null id")], "doc_id long, text string").repartition(3)
+    known = spark.createDataFrame(list(labels.items()), "doc_id long, quality int")
+    learn = {i: y for i, y in labels.items() if zlib.crc32(str(i).encode()) % 3 != 1}
+    got = quality.classify(df, known).collect()
+    texts = [*rows, rows[3], (None, "a null id")]
+    want = collections.defaultdict(list)
+    for (i, _), score in zip(texts, brute_quality(rows, learn, [t for _, t in texts]), strict=True):
+        want[i].append(score)
+    assert len(got) == len(texts)
+    for r in got:
+        assert any(r["score"] == pytest.approx(x, abs=1e-6) for x in want[r["doc_id"]])
+
 
-    m = {"langs": ["a", "b"], "words": {"sea": np.array([1.0, -1.0])}, "grams": {"xy": np.array([-2.0, 2.0]), "x": np.array([5.0, -5.0])}}
-    assert language_id.word_scores(m, "sea").tolist() == [1.0, -1.0]
-    assert language_id.word_scores(m, "xy").tolist() == [-2.0, 2.0]
-    assert language_id.word_scores(m, "qq").tolist() == [0.0, 0.0]
+def test_accepted_rows_keep_columns_of_any_name(spark):
+    df = spark.createDataFrame([(i, "sea " * i, 1.0, "t", "r", "i") for i in range(9)], "doc_id long, text string, __score double, __text string, __row string, __id string")
+    labels = spark.createDataFrame([(i, 1) for i in range(9)], "doc_id long, quality int")
+    out = quality.accepted(df, labels)
+    assert out.columns == df.columns and sorted(map(tuple, out.collect())) == sorted(map(tuple, df.collect()))
 
 
 def test_quality(spark, tables):

@@ -9,8 +9,10 @@ and BUCKETS. As outputs are linear in the mean, scoring needs one number for eac
 features are summed once and kept in a bounded worker cache. Every whole text is read.
 
 Defined results: a null text counts as empty and scores the bias; without a labelled row every text
-scores 0.5; of several labels of one document the largest counts; repeated rows each give a row; an
-empty table gives an empty result; a null id is never held out; other columns are ignored.
+scores 0.5; of several labels of one document the largest counts, of several texts of one id the first by code point is
+learned from; very long texts count like others, by the mean over their features; a score of exactly 0.5 is
+label 1; repeated rows each give a row; an empty table gives an empty result; a null id is never held out; other
+columns are ignored, whatever their names.
 """
 from __future__ import annotations
 
@@ -19,10 +21,10 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import slices
-from .language_id import bounded, held_out
+from .common import sample_by_hash, slices
+from .language_id import held_out
 from .piece_sums import PieceSums
 from .shingles import mix
 
@@ -97,18 +99,20 @@ def train(rows: list, epochs: int = 12, rate: float = 0.5, seed: int = 5) -> tup
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, parts: int, out_part: int, train_rows: int) -> tuple[np.ndarray, float]:
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(id_col, parts, out_part))
-    known = bounded(known.groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).cast("int").alias("y")), "__id", train_rows)
+    known = known.groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).cast("int").alias("y"))
+    known = sample_by_hash(known, F.col("__id"), known.count(), train_rows, 7)
     texts = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).cast("string").alias("text"))
-    rows = texts.join(F.broadcast(known), F.col("__doc") == F.col("__id")).select("y", "text", F.col("__doc"))
-    found = rows.dropDuplicates(["__doc"]).orderBy("__doc").select("y", "text").mapInArrow(_bucket_counts, "y int, ids array<int>, n array<float>").toArrow()
+    rows = texts.join(F.broadcast(known), F.col("__doc") == F.col("__id"))
+    rows = rows.groupBy("__doc").agg(F.min("text").alias("text"), F.max("y").alias("y"))  # of an id's texts the first
+    found = rows.orderBy("__doc").select("y", "text").mapInArrow(_bucket_counts, "y int, ids array<int>, n array<float>").toArrow()
     table = list(zip(found["y"].to_pylist(), (x.values.to_numpy() for x in found["ids"]), (x.values.to_numpy() for x in found["n"]), strict=True))
     if not table:
         return np.zeros(BUCKETS), 0.0
     return train(table)
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """id_col (or the columns `keep`) and score of each row."""
+def score(docs: DataFrame, model: tuple[np.ndarray, float], keep: list[Column], text_col: str = "text") -> DataFrame:
+    """The columns `keep`, which may have any names but __text and __score, and __score of each row."""
     shared, name = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def run(batches):
@@ -127,11 +131,8 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_i
             z = np.clip(np.round(s[:, 0] / np.maximum(s[:, 1], 1) + bias, 9), -500, 500)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(1 / (1 + np.exp(-z)))], [*batch.schema.names[:-1], "__score"])
 
-    keep = keep or [id_col]
     source = docs.select(*keep, F.col(text_col).cast("string").alias("__text"))
-    schema = source.select(*keep).schema.add("__score", "double")
-    scored = source.mapInArrow(run, schema)
-    return scored.select(*[c for c in keep if c != "score"], F.col("__score").alias("score")) if keep == [id_col] else scored
+    return source.mapInArrow(run, source.drop("__text").schema.add("__score", "double"))
 
 
 def classify(
@@ -139,10 +140,12 @@ def classify(
 ) -> DataFrame:
     """id_col, held_out, score, predicted; learns from the labelled rows that are not held out."""
     model = fit(docs, labels, id_col, text_col, label_col, parts, out_part, train_rows)
-    return score(docs, model, id_col, text_col).select(id_col, held_out(id_col, parts, out_part).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    scored = score(docs, model, [F.col(id_col)], text_col)
+    return scored.select(id_col, held_out(id_col, parts, out_part).alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= 0.5).cast("int").alias("predicted"))
 
 
 def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", parts: int = 3, out_part: int = 1, train_rows: int = 2000) -> DataFrame:
     """The rows of docs that the classifier predicts to be of quality 1."""
     model = fit(docs, labels, id_col, text_col, label_col, parts, out_part, train_rows)
-    return score(docs, model, id_col, text_col, docs.columns).where("__score >= 0.5").drop("__score")
+    whole = score(docs, model, [F.struct(*docs.columns).alias("__row")], text_col)  # as one column: no name of theirs can clash
+    return whole.where("__score >= 0.5").select("__row.*")
