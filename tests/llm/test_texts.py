@@ -107,7 +107,7 @@ def der(tag, body):
 def test_secrets_are_confirmed_by_structure():
     rsa = der(0x30, der(2, b"\x00") + b"".join(der(2, bytes([7] * 40)) for _ in range(8)))
     ec = der(0x30, der(2, b"\x01") + der(4, bytes(range(32))))
-    wrapped = der(0x30, der(2, b"\x00") + der(0x30, der(6, b"\x2b\x65\x70")) + der(4, bytes(range(34))))
+    wrapped = der(0x30, der(2, b"\x00") + der(0x30, der(6, b"\x2b\x65\x70")) + der(4, der(4, bytes(range(32)))))
     s = lambda x: struct.pack(">I", len(x)) + x
     ssh = b"openssh-key-v1\x00" + s(b"none") + s(b"none") + s(b"") + struct.pack(">I", 1) + s(bytes(51)) + s(bytes(136))
     b64 = lambda b: base64.b64encode(b).decode()
@@ -131,7 +131,8 @@ PEM_LINES = [base64.b64encode(PEM_KEY).decode()[i : i + 64] for i in range(0, 48
 
 
 @pytest.mark.parametrize("inside", [
-    "\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123-4567\n\nq83v\n",  # legacy encryption
+    "\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123456789ABCDEF0123456789abcdef\n\n" + base64.b64encode(bytes(range(48))).decode() + "\n",  # legacy encryption
+    "\nProc-Type: 4,ENCRYPTED\nDEK-Info: DES-EDE3-CBC,0123456789ABCDEF\n\n" + base64.b64encode(bytes(range(40))).decode() + "\n",
     "\nComment: an-old-key\nX-Note: one\n two\n\n" + "\n".join(PEM_LINES) + "\n",
     "\\n" + "\\n".join(PEM_LINES) + "\\n", "\\r\\n" + "\\r\\n".join(PEM_LINES) + "\\r\\n", "\\\\n" + "\\\\n".join(PEM_LINES) + "\\\\n", "\r\n" + "\r\n".join(PEM_LINES) + "\r\n",
 ])
@@ -150,6 +151,55 @@ def test_dsa_keys():
     assert secret_scan.masked(text, secret_scan.spans_of(text)) == "<pem>"
 
 
+def structure(text):
+    return [(text[a:b], k) for a, b, k in secret_scan.spans_of(text) if k not in secret_scan.BASE]
+
+
+def test_only_encrypted_blocks_that_parse_are_reported():
+    kdf = der(0x30, der(6, b"\x2a\x86\x48\x86\xf7\x0d\x01\x05\x0d") + der(0x30, der(0x30, der(6, b"\x2a\x03")) + der(0x30, der(4, bytes(8)))))
+    good = der(0x30, kdf + der(4, bytes(range(64))))
+    block = lambda body, name="ENCRYPTED ": f"-----BEGIN {name}PRIVATE KEY-----\n{body}\n-----END {name}PRIVATE KEY-----"
+    b64 = lambda b: base64.b64encode(b).decode()
+    assert structure("x " + block(b64(good))) == [(block(b64(good)), "pem")]
+    legacy = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,{}\n\n{}"
+    for bad in (
+        block("not a key"), block(b64(good[:-1])), block(b64(der(0x30, kdf + der(4, bytes(8))))), block(b64(der(0x30, der(6, b"\x2a") + der(4, bytes(64))))), block(""),
+        block(legacy.format("0123-4567", "q83v"), "RSA "), block(legacy.format("00" * 16, b64(bytes(47))), "RSA "), block(legacy.format("00" * 16, "not base64!"), "RSA "),
+        block("DEK-Info: AES-128-CBC," + "00" * 16 + "\n\n" + b64(bytes(48)), "RSA "),
+    ):
+        assert structure("x " + bad) == []
+
+
+def test_the_inner_key_of_a_wrapped_one_is_parsed():
+    wrapped = lambda inner: base64.b64encode(der(0x30, der(2, b"\x00") + der(0x30, der(6, b"\x2b\x65\x70")) + der(4, inner))).decode()
+    for inner in (der(4, bytes(32)), PEM_KEY, der(2, bytes([7] * 20))):
+        assert structure(f"k {wrapped(inner)} z") == [(wrapped(inner), "der")]
+    for inner in (b"\xff" * 34, bytes(range(34)), der(4, bytes(32)) + b"\x00", PEM_KEY[:-1], der(4, bytes(8)), b""):
+        assert structure(f"k {wrapped(inner)} z") == []
+
+
+def test_wrapped_and_joined_base64():
+    s = lambda x: struct.pack(">I", len(x)) + x
+    ssh = b"openssh-key-v1\x00" + s(b"none") + s(b"none") + s(b"") + struct.pack(">I", 1) + s(bytes(51)) + s(bytes(136))
+    ec = der(0x30, der(2, b"\x01") + der(4, bytes(range(32))))
+    for key, kind in ((PEM_KEY, "der"), (ssh, "ssh"), (ec, "der"), (ssh + b"", "ssh")):
+        flat = base64.b64encode(key).decode()
+        for end in ("\n", "\r\n", "  \n  ", "\\n", "\\r\\n"):
+            lines = end.join(flat[i : i + 24] for i in range(0, len(flat), 24))
+            for before, after in (("key: ", " and"), ("path/", ""), ("a/b+MII", "\n\nnext words"), ("", "."), ("x=MIIEAIBAAA", " ")):
+                assert structure(before + lines + after) == [(lines, kind)]
+            assert structure("path/" + lines.rstrip("=")[:-5] + " ") == []  # cut short
+        spaced = " ".join(flat[i : i + 8] for i in range(0, len(flat), 8))
+        assert structure(spaced) == []
+        url = base64.urlsafe_b64encode(key).decode().rstrip("=")
+        assert structure(f"u/{url}?") == [(url, kind)]
+    assert structure("id=ff" + ec.hex() + "..") == [(ec.hex(), "der")] and structure("id=" + ec.hex()[:-2]) == []
+    assert structure("MIIEAIBA" * 20_000) == []  # many starts, no key
+    pretty = base64.urlsafe_b64encode(b'{\n  "alg": "HS256"}').decode().rstrip("=")
+    token = f"{pretty}.{base64.urlsafe_b64encode(b'{}').decode().rstrip('=')}.c2ln"
+    assert structure(f"t {token} ") == [(token, "jwt")]
+
+
 def test_redaction(docs):
     out = secret_scan.redact(docs)
     assert out.columns == docs.columns and out.count() == docs.count()
