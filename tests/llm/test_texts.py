@@ -43,11 +43,33 @@ def test_every_character_cuts_where_the_library_cuts():
 
     t = Tokenizer.from_file(JSON)
     chars = [chr(c) for c in [*range(0x300), *range(0x1680, 0x1690), *range(0x2000, 0x2070), 0x3000, 0xFEFF, 0x180E, 0x10FFFF]]
+    e = tiktoken_encoding()
     for c in chars:
-        s = f"a{c}b {c} c{c} 1 d"
-        cut = pieces(s)
-        if cut:
-            assert t.encode(s, add_special_tokens=False).ids == sum((t.encode(x, add_special_tokens=False).ids for x in [cut[0], *(" " + p for p in cut[1:])]), [])
+        for s in (f"a{c}b {c} c{c} 1 d", f"a  b   {c} {c}  {c}x{c}  ", f" {c}  {c}{c} y\n {c}\n{c} \t z"):
+            cut = pieces(s)
+            parts = [cut[0], *(" " + p for p in cut[1:])]
+            assert "".join(parts) == s
+            assert t.encode(s, add_special_tokens=False).ids == sum((t.encode(x, add_special_tokens=False).ids for x in parts), [])
+            assert e.encode_ordinary(s) == sum((e.encode_ordinary(x) for x in parts), [])
+
+
+def test_other_kinds_of_vocabularies_are_encoded_whole(docs):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t = Tokenizer.from_file(path)
+    want = collections.Counter((r["doc_id"], len(t.encode(r["text"] or "", add_special_tokens=False).ids)) for r in docs.select("doc_id", "text").collect())
+    assert not token_counts.by_pretokens(t) and token_counts.by_pretokens(Tokenizer.from_file(JSON))
+    assert pairs(token_counts.count_tokens(docs, path), "doc_id", "n_tokens") == want
+
+
+def test_frequent_pretokens_of_many_partitions(spark):
+    rows = [(i, f"the cat, sat{i % 7} the end" if i % 2 else None) for i in range(600)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(150)
+    found = token_counts.frequent_pretokens(d, "text", 100)
+    assert found[0] == " the" and set(found) == {" the", " cat", ",", " sat", " end", *"0123456"}
+    assert len(token_counts.frequent_pretokens(d, "text", 5)) <= 5
+    assert token_counts.frequent_pretokens(d.limit(0), "text", 4) == []
 
 
 def tiktoken_encoding():

@@ -5,8 +5,8 @@ with the score -rank, so the best-scored merge is the merge of lowest rank. Norm
 identity and no space is added, so a pre-token's bytes reach the model as they are. Decoding maps
 each id back to its piece and each character back to its byte.
 
-Defined results: a null text counts as empty (no ids, no bytes); repeated rows each give a row; an
-empty table gives an empty result; other columns are ignored, and the result's names win over theirs.
+Defined results: a null text counts as empty (no ids, no bytes); a very long text is encoded whole, its words one
+by one; ties cannot arise, as every rank is one piece's; repeated rows each give a row; an empty table gives an empty result; other columns are ignored, and the result's names win over theirs.
 """
 from __future__ import annotations
 
@@ -110,10 +110,10 @@ class Codec:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [pieces(x) for x in texts]
-        drop = self.cache.fill([c for c in cut if c])
+        drop = self.cache.fill(cut)
         get = self.cache.known.__getitem__
-        heads = self.encode_pieces([c[0] if c else x for c, x in zip(cut, texts, strict=True)])
-        out = [h + b"".join(map(get, c[1:])) if c else h for c, h in zip(cut, heads, strict=True)]
+        heads = self.encode_pieces([c[0] for c in cut])
+        out = [h + b"".join(map(get, c[1:])) for c, h in zip(cut, heads, strict=True)]
         self.cache.forget(drop)
         return out
 

@@ -1,24 +1,26 @@
 """Word-wise caching of pre-token results, exact with respect to encoding the whole text.
 
 The pre-token pattern never joins what stands before a space to what follows it when that space is
-followed by something other than white space: the space opens the next pre-token. So a text may be
-cut before every such space, and each " word" piece has the same pre-tokens alone as in the text.
-Texts in which a space is followed by white space or the end are left to the caller, whole.
+followed by something other than white space: the space opens the next pre-token, also when it ends a longer
+stretch of white space. So a text may be cut before every such space, and each " word" piece has the
+same pre-tokens alone as in the text; white space before the cut stays at the end of the piece before.
 """
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 #: Longer pieces are encoded but not kept.
 KEEP_CHARS = 64
+_CUT = re.compile(r" (?=\S)")
 
 
-def pieces(text: str) -> list[str] | None:
-    """What stands between single spaces, or None if the text may not be cut at each space."""
+def pieces(text: str) -> list[str]:
+    """The text cut at every space before something else than white space; that space is left out."""
     parts = text.split(" ")
     for p in parts[1:]:
         if not p or p[0].isspace():
-            return None
+            return _CUT.split(text)
     return parts
 
 
