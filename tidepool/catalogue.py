@@ -8,14 +8,13 @@ every fifth customer's orders write [o_custkey, o_custkey + 3).
 """
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .functions import keys, tuples
 from .operators import allocator, conflicts, directory, folds, overlay, ranges, routing, selectors, store
 from .plans.keyspace import Keyspace
 from .sources import log as logs, tools
+from .sources.scratch import new_folder
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -329,7 +328,18 @@ SELECT k, version, value FROM s WHERE NOT EXISTS (SELECT 1 FROM c WHERE k >= c.s
 def clear_range_apply(spark, d):
     log = event_log(spark, d)
     clears = log.where("version % 97 = 0").select(F.col("k").alias("s"), (F.col("k") + 10).alias("e"), F.col("version").alias("at"))
-    return ranges.apply_clears(log.where("op = 'set'").select("k", "version", F.col("operand").alias("value")), clears, 16)
+    return ranges.apply_clears(log.where("op = 'set'").select("k", "version", F.col("operand").alias("value")), clears)
+
+
+@query(f"""WITH s AS (SELECT k, max(version) AS version, arg_max(value, version) AS value FROM {_LOG} WHERE value IS NOT NULL GROUP BY k),
+c AS (SELECT user_id AS s, user_id + 1 + event_id % 40 AS e, event_id AS cleared FROM events WHERE event_type = 'error')
+SELECT {_HEX_KEY.format('k')} AS key_hex, version, value FROM s WHERE NOT EXISTS (SELECT 1 FROM c WHERE k >= c.s AND k < c.e AND cleared > version)""")
+def clear_range_binary(spark, d):
+    """Range clears over packed keys, of every width from one key to forty."""
+    log = event_log(spark, d)
+    clears = log.where("op = 'clear'").select(tuples.pack_int(F.col("k")).alias("s"), tuples.pack_int(F.col("k") + 1 + F.col("version") % 40).alias("e"), F.col("version").alias("at"))
+    sets = log.where("op = 'set'").select(tuples.pack_int(F.col("k")).alias("k"), "version", F.col("operand").alias("value"))
+    return ranges.apply_clears(sets, clears).select(F.hex("k").alias("key_hex"), "version", "value")
 
 
 _STATE = f"(SELECT k AS key, arg_max_null(value, version) AS value FROM {_LOG} WHERE version <= {{0}} GROUP BY k HAVING arg_max_null(value, version) IS NOT NULL)"
@@ -343,7 +353,7 @@ def ryw_overlay(spark, d):
     kv = event_kv(spark, d)
     pending = store.latest(kv.where("version > 4000"), 4100, keep_cleared=True).select("key", "value")
     cleared = spark.createDataFrame([(20, 30)], "s long, e long")
-    return overlay.merged(store.kv_at(kv, 4000).select("key", "value"), pending, F.broadcast(cleared))
+    return overlay.merged(store.kv_at(kv, 4000).select("key", "value"), pending, cleared)
 
 
 @query(f"""WITH b AS {_STATE.format(4000)}, a AS {_STATE.format(6000)}
@@ -367,17 +377,45 @@ def conflict_points(spark, d):
     return conflicts.point_pairs(reads.withColumn("e", F.col("s") + 1), writes)
 
 
-@query(f"""WITH RECURSIVE {_TXN}, p AS (SELECT r.txn AS reader, list(DISTINCT w.txn) AS writers FROM r JOIN w ON r.s < w.e AND w.s < r.e AND w.version > r.read_version AND w.version < r.version
-WHERE r.txn // 32 = w.txn // 32 GROUP BY 1), o AS (SELECT o_orderkey AS txn, o_orderkey // 32 AS batch, row_number() OVER (PARTITION BY o_orderkey // 32 ORDER BY o_orderkey) AS i, writers FROM orders LEFT JOIN p ON reader = o_orderkey),
-g AS (SELECT batch, i, txn, true AS accepted, [txn] AS acc FROM o WHERE i = 1
-UNION ALL SELECT o.batch, o.i, o.txn, len(list_intersect(acc, coalesce(o.writers, []))) = 0, CASE WHEN len(list_intersect(acc, coalesce(o.writers, []))) = 0 THEN list_append(acc, o.txn) ELSE acc END FROM g JOIN o ON o.batch = g.batch AND o.i = g.i + 1)
-SELECT batch, txn, accepted FROM g""")
+@query(f"WITH {_TXN} SELECT DISTINCT r.txn AS reader, w.txn AS writer FROM r JOIN w ON r.s < w.e AND w.s < r.e AND w.version > r.read_version AND w.version < r.version")
+def conflict_pairs_binary(spark, d):
+    """conflict_pairs over packed keys."""
+    packed = lambda df: df.withColumn("s", tuples.pack_int(F.col("s"))).withColumn("e", tuples.pack_int(F.col("e")))
+    reads, writes = transactions(spark, d)
+    return conflicts.pairs(packed(reads), packed(writes), lag=LAG)
+
+
+@query(f"""WITH RECURSIVE {_TXN}, p AS (SELECT DISTINCT r.txn AS reader, w.txn AS writer FROM r JOIN w ON r.s < w.e AND w.s < r.e AND w.version > r.read_version AND w.version < r.version),
+o AS (SELECT reader, list(writer) AS writers, row_number() OVER (ORDER BY reader) AS i FROM p GROUP BY reader),
+g AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS refused
+UNION ALL SELECT o.i, CASE WHEN len(list_filter(o.writers, lambda x: NOT list_contains(refused, x))) > 0 THEN list_append(refused, o.reader) ELSE refused END FROM g JOIN o ON o.i = g.i + 1),
+n AS (SELECT unnest(refused) AS txn FROM g WHERE i = (SELECT max(i) FROM g))
+SELECT o_orderkey // 32 AS batch, o_orderkey AS txn, n.txn IS NULL AS accepted FROM orders LEFT JOIN n ON n.txn = o_orderkey""")
 def conflict_resolve(spark, d):
+    """Batches of 32, each against the accepted writes of its own and of earlier ones within the window."""
     reads, writes = transactions(spark, d)
-    found = conflicts.pairs(reads, writes, grid=16, lag=LAG)
-    size = 32
-    inside = found.where(F.floor(F.col("reader") / size) == F.floor(F.col("writer") / size))
-    return conflicts.resolve(reads.select("txn", F.floor(F.col("txn") / size).alias("batch")), inside)
+    return conflicts.resolve(reads.select("txn", F.floor(F.col("txn") / 32).alias("batch")), conflicts.pairs(reads, writes, grid=16, lag=LAG)).select("batch", "txn", "accepted")
+
+
+_RESOLVERS = "(VALUES " + ", ".join(f"({i}, {i * 300}, {(i + 1) * 300 if i < 4 else 10**9})" for i in range(5)) + ") m(tag, lo, hi)"
+
+
+@query(f"""WITH {_TXN}, x AS (SELECT 'read' AS side, * EXCLUDE (read_version) FROM r UNION ALL SELECT 'write', * FROM w)
+SELECT x.side, x.txn, m.tag, greatest(x.s, lo) AS s, least(x.e, hi) AS e FROM x JOIN {_RESOLVERS} ON x.s < hi AND lo < x.e""")
+def conflict_sharded(spark, d):
+    """Read and write ranges cut at the same resolver bounds."""
+    reads, writes = transactions(spark, d)
+    both = reads.select(F.lit("read").alias("side"), "txn", "s", "e").unionByName(writes.select(F.lit("write").alias("side"), "txn", "s", "e"))
+    shards = spark.createDataFrame([(i, i * 300, (i + 1) * 300 if i < 4 else 10**9) for i in range(5)], "tag int, start long, end long")
+    return conflicts.sharded(both, shards).select("side", "txn", "tag", "s", "e")
+
+
+@query("""WITH e AS (SELECT event_id, CASE WHEN event_id < 6000 THEN event_id - 1 ELSE event_id - 2 END AS last_version FROM events)
+SELECT event_id AS version, last_version, CASE WHEN last_version < 1000 THEN 'stale' WHEN event_id < 6000 THEN 'ready' ELSE 'parked' END AS state FROM e""")
+def conflict_sequence(spark, d):
+    """What a resolver at version 1000 does with batches whose chain breaks at 6000."""
+    e = table(spark, d, "events").select(F.col("event_id").alias("version"), F.when(F.col("event_id") < 6000, F.col("event_id") - 1).otherwise(F.col("event_id") - 2).alias("last_version"))
+    return conflicts.in_sequence(e, 1000).select("version", "last_version", "state")
 
 
 @query(f"""WITH {_TXN} SELECT count(DISTINCT version) AS versions, count(*) FILTER (WHERE e = s + 1) AS points, count(*) FILTER (WHERE e > s + 1) AS ranges, (SELECT count(*) FROM r) AS reads FROM w""")
@@ -400,6 +438,14 @@ def shard_lookup(spark, d):
     return routing.lookup(table(spark, d, "orders").select("o_orderkey"), "o_orderkey", ORDER_SHARDS)
 
 
+@query(f"SELECT {_ORDER_KEY} AS key_hex, {_TAG} AS tag FROM orders")
+def shard_lookup_binary(spark, d):
+    """shard_lookup by packed keys and packed ends, from a shard map that is a table."""
+    ends = spark.createDataFrame([(t, bytearray(tuples.pack(e))) for t, e in ORDER_SHARDS], "tag int, end binary")
+    keys_ = orders_kv(spark, d).select("key")
+    return routing.lookup_in(keys_, "key", routing.with_starts(ends, F.lit(bytearray(b"")))).select(F.hex("key").alias("key_hex"), "tag")
+
+
 def _shard_map(spark) -> DataFrame:
     return routing.with_starts(spark.createDataFrame(ORDER_SHARDS, "tag int, end long"), 0)
 
@@ -425,7 +471,13 @@ def shards_touched(spark, d):
     return t.select("version", F.array_join(F.col("tags").cast("array<string>"), ",").alias("tags"))
 
 
-@query("SELECT tag, logs FROM (VALUES " + ", ".join(f"({t}, '{','.join(map(str, routing.log_indices(t, 5, 3)))}')" for t in range(25)) + ") v(tag, logs)")
+_STEP = "(CAST(11400714819323198485 AS HUGEINT) % 5)"
+_FREE = "CASE WHEN NOT list_contains(got, {0} % 5) THEN {0} % 5 WHEN NOT list_contains(got, ({0} + 1) % 5) THEN ({0} + 1) % 5 WHEN NOT list_contains(got, ({0} + 2) % 5) THEN ({0} + 2) % 5 ELSE ({0} + 3) % 5 END"
+
+
+@query(f"""WITH RECURSIVE p AS (SELECT n_nationkey AS tag, 0 AS i, CAST(n_nationkey % 5 AS HUGEINT) AS pos, CAST([] AS HUGEINT[]) AS got FROM nation
+UNION ALL SELECT tag, i + 1, ({_FREE.format('pos')} + {_STEP}) % 5, list_prepend({_FREE.format('pos')}, got) FROM p WHERE i < 3)
+SELECT tag, array_to_string(got, ',') AS logs FROM p WHERE i = 3""")
 def log_replicas(spark, d):
     t = routing.replicas(table(spark, d, "nation").select(F.col("n_nationkey").alias("tag")), 5, 3)
     return t.select("tag", F.array_join(F.col("logs").cast("array<string>"), ",").alias("logs"))
@@ -440,9 +492,87 @@ def shard_pruned_scan(spark, d):
 # Logs, chunks, snapshots
 
 
-@query(f"SELECT version, k, value FROM {_LOG} WHERE version > 3000 AND version <= 9000 ORDER BY version LIMIT 250")
+def transaction_log(spark, d) -> DataFrame:
+    """The events as transactions of up to ten mutations: version = event_id div 10, seq = event_id mod 10."""
+    return event_log(spark, d).withColumn("seq", (F.col("version") % 10).cast("int")).withColumn("version", F.floor(F.col("version") / 10))
+
+
+_TXLOG = f"(SELECT version // 10 AS version, CAST(version % 10 AS INTEGER) AS seq, k, value, tag FROM {_LOG})"
+
+
+@query(f"SELECT version, seq, k, value FROM {_TXLOG} WHERE version IN (SELECT DISTINCT version FROM {_TXLOG} WHERE version > 300 AND version <= 900 ORDER BY version LIMIT 25)")
 def log_pull(spark, d):
-    return logs.pull(event_log(spark, d), 3000, 250, 9000).select("version", "k", F.col("operand").alias("value"))
+    """25 whole transactions."""
+    return logs.pull(transaction_log(spark, d), 300, 25, 900).select("version", "seq", "k", F.col("operand").alias("value"))
+
+
+def _pushes(spark, d) -> DataFrame:
+    """Every event pushed twice, each expecting the one before; the one of the largest value is too large."""
+    e = table(spark, d, "events")
+    top = e.agg(F.max("value").alias("top"))
+    size = F.when(F.col("value") == F.col("top"), logs.MAX_TRANSACTION + 1).otherwise(F.length("props"))
+    e = e.crossJoin(F.broadcast(top)).select((F.col("event_id") - 1).alias("expected"), F.col("event_id").alias("version"), size.cast("long").alias("bytes"))
+    return e.withColumn("arrival", F.explode(F.array(F.lit(1), F.lit(2))))
+
+
+@query("""WITH m AS (SELECT min(event_id) AS big FROM events WHERE value = (SELECT max(value) FROM events) AND event_id > 99)
+SELECT event_id AS version, arrival, CASE WHEN value = (SELECT max(value) FROM events) THEN 'tx_too_large' WHEN event_id - 1 < 99 OR arrival = 2 THEN 'tx_out_of_order'
+WHEN event_id < coalesce(big, 1000000000) THEN 'accepted' ELSE 'waiting' END AS state FROM events, m, (VALUES (1), (2)) a(arrival)""")
+def log_push(spark, d):
+    """What a log at version 99 does with pushes that repeat, are old, too large, or follow a gap."""
+    return logs.decided(_pushes(spark, d), 99).select("version", "arrival", "state")
+
+
+@query(f"SELECT version, seq, k, value FROM {_TXLOG}")
+def log_in_order(spark, d):
+    """A log whose even versions were pushed again, with other mutations, which are refused."""
+    log = transaction_log(spark, d).withColumn("push", F.lit(1))
+    again = log.where("version % 2 = 0").withColumn("push", F.lit(2)).withColumn("k", F.col("k") + 1000)
+    return logs.in_order(log.unionByName(again), "push").select("version", "seq", "k", F.col("operand").alias("value"))
+
+
+@query(f"""SELECT version, k, value FROM {_TXLOG} WHERE tag = 3 AND version IN (SELECT DISTINCT version FROM {_TXLOG} WHERE tag = 3 AND version >= 500 AND version < 900 ORDER BY version LIMIT 40)""")
+def shard_pull(spark, d):
+    """A shard's transactions from storage, as the buffer holds none from version 500 on."""
+    log = transaction_log(spark, d)
+    return logs.shard_pull(log.where("version < 500"), log.where("version < 900"), 3, 500, 40).select("version", "k", F.col("operand").alias("value"))
+
+
+_GREEDY = """o AS (SELECT {by} AS tag, {at} AS pos, {size} AS size, row_number() OVER (PARTITION BY {by} ORDER BY {at}) AS i FROM {rows}),
+f AS (SELECT tag, i, pos, size, pos AS head, CAST(1 AS BIGINT) AS n, CAST(size AS BIGINT) AS total, CAST(0 AS BIGINT) AS batch FROM o WHERE i = 1
+UNION ALL SELECT tag, i, pos, size, CASE WHEN full_ THEN pos ELSE head END, CASE WHEN full_ THEN 1 ELSE n + 1 END, CASE WHEN full_ THEN size ELSE total + size END, batch + CASE WHEN full_ THEN 1 ELSE 0 END
+FROM (SELECT o.tag, o.i, o.pos, o.size, f.head, f.n, f.total, f.batch, {full} AS full_ FROM f JOIN o ON o.tag = f.tag AND o.i = f.i + 1))"""
+
+
+@query("WITH RECURSIVE " + _GREEDY.format(by="user_id % 8", at="event_id", size="length(props)", rows="events", full="f.total >= 2000 OR o.pos - f.pos >= 60")
+       + " SELECT CAST(tag AS INTEGER) AS tag, batch AS chunk, min(pos) AS min_version, max(pos) AS max_version, count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes FROM f GROUP BY 1, 2")
+def chunk_plan(spark, d):
+    """Chunks that a writer flushes at 2,000 bytes, or where versions lie 60 or more apart."""
+    from .plans.batching import chunk_plan as plan
+
+    log = table(spark, d, "events").select((F.col("user_id") % 8).cast("int").alias("tag"), F.col("event_id").alias("version"), F.length("props").cast("long").alias("size"))
+    return plan(log, 2000, 60)
+
+
+@query("WITH RECURSIVE " + _GREEDY.format(by="user_id % 4", at="event_id", size="1", rows="events", full="f.n >= 32 OR o.pos - f.head >= 100") + " SELECT CAST(tag AS INTEGER) AS proxy, pos AS txn, batch FROM f")
+def commit_batches(spark, d):
+    """The batches of four proxies: 32 transactions, or 100 versions since a batch's first."""
+    from .plans.batching import batches
+
+    rows = table(spark, d, "events").select((F.col("user_id") % 4).cast("int").alias("proxy"), F.col("event_id").alias("txn"))
+    return batches(rows, "proxy", "txn", most=32, span=100)
+
+
+@query("""WITH t AS (SELECT event_id, user_id % 4 AS proxy, event_id // 50 * 9 AS pos FROM events),
+n AS (SELECT *, row_number() OVER (PARTITION BY proxy ORDER BY event_id) AS i FROM t),
+v AS (SELECT *, max(pos - i) OVER (PARTITION BY proxy ORDER BY event_id ROWS UNBOUNDED PRECEDING) + i AS version FROM n)
+SELECT event_id, CAST(version AS BIGINT) AS version, CAST(coalesce(lag(version) OVER (PARTITION BY proxy ORDER BY event_id), 0) AS BIGINT) AS last_version FROM v""")
+def commit_versions(spark, d):
+    """Versions of commits that come in bursts: those of one moment take the next versions, and push later ones on."""
+    from .plans.transactions import commit_versions as versions
+
+    rows = table(spark, d, "events").select("event_id", (F.col("user_id") % 4).alias("proxy"), (F.floor(F.col("event_id") / 50) * 9).alias("at"))
+    return versions(rows, "at", ["event_id"], "proxy").select("event_id", "version", "last_version")
 
 
 @query(f"SELECT CAST(tag AS INTEGER) AS tag, version // 1000 AS chunk, min(version) AS min_version, max(version) AS max_version, count(*) AS n FROM {_LOG} GROUP BY 1, 2")
@@ -470,9 +600,17 @@ def log_trimmed(spark, d):
     return logs.trimmed(event_log(spark, d), 9000).select("version", "k")
 
 
-@query()
+_BYTES = "list_transform(range(1, len({0}) + 1), lambda i: ascii(substr({0}, i, 1)))"
+
+
+@query(f"""WITH m AS (SELECT version, seq, CAST(k AS VARCHAR) AS k, value FROM {_TXLOG}),
+b AS (SELECT version, flatten(list(list_concat([CASE WHEN value IS NULL THEN 1 ELSE 0 END, len(k) // 256, len(k) % 256], {_BYTES.format('k')},
+CASE WHEN value IS NULL THEN [] ELSE list_concat([0, 0, len(value) // 256, len(value) % 256], {_BYTES.format('value')}) END) ORDER BY seq)) AS body FROM m GROUP BY version),
+s AS (SELECT version, list_transform(list_concat([1, len(body) // 65536, len(body) // 256 % 256, len(body) % 256], body), lambda x: CAST(x AS BIGINT)) AS bytes FROM b)
+SELECT version, xor(list_reduce(list_concat([4294967295::BIGINT], bytes), lambda c, x: list_reduce([xor(c, x), 0, 0, 0, 0, 0, 0, 0, 0], lambda y, z: xor(y >> 1, (y & 1) * 3988292384))), 4294967295::BIGINT) AS crc FROM s""")
 def log_checksums(spark, d):
-    return logs.checksums(event_log(spark, d))
+    """CRC-32 over tag, size and mutations of each transaction."""
+    return logs.checksums(transaction_log(spark, d))
 
 
 @query(f"SELECT key, value FROM {_STATE.format(10**12)}")
@@ -488,7 +626,7 @@ def snapshot_latest(spark, d):
     from .sources.snapshots import Snapshots
 
     kv = event_kv(spark, d)
-    shots = Snapshots(spark, _folder(spark))
+    shots = Snapshots(spark, new_folder(spark))
     for v in (1000, 5000):
         shots.write(v, store.kv_at(kv, v).select("key", "value"))
     return shots.read_latest()
@@ -528,6 +666,15 @@ def allocator_stats(spark, d):
     return allocator.stats(allocator.windows(table(spark, d, "orders"), "o_orderkey"))
 
 
+@query("""SELECT c_custkey AS n, CAST(w AS BIGINT) AS window, CAST(w + (7 * i + 3 * (w // size) + 3) % size AS BIGINT) AS candidate FROM (SELECT c_custkey,
+CASE WHEN c_custkey < 124 THEN c_custkey // 31 * 64 ELSE 256 + (c_custkey - 124) // 511 * 1024 END AS w,
+CASE WHEN c_custkey < 124 THEN c_custkey % 31 ELSE (c_custkey - 124) % 511 END AS i, CASE WHEN c_custkey < 124 THEN 64 ELSE 1024 END AS size FROM customer)""")
+def allocator_allocate(spark, d):
+    """An id for every customer, from windows that fill by half."""
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("n"))
+    return allocator.allocated(c, "n", seed=3).select("n", "window", "candidate")
+
+
 # Directories
 
 
@@ -543,10 +690,10 @@ def directory_list(spark, d):
     return directory.children(_directories(spark, d), [top])
 
 
-@query("SELECT CASE WHEN p_type = (SELECT min(p_type) FROM part) THEN 'archive/old' ELSE p_type END || '/' || p_brand || '/' || p_partkey AS path FROM part")
+@query("SELECT CASE WHEN p_type = (SELECT min(p_type) FROM part) THEN 'archive' ELSE p_type END || '/' || p_brand || '/' || p_partkey AS path FROM part")
 def directory_move(spark, d):
     top = table(spark, d, "part").agg(F.min("p_type")).first()[0]
-    return directory.moved(_directories(spark, d), [top], ["archive", "old"]).select(F.array_join("path", "/").alias("path"))
+    return directory.moved(_directories(spark, d), [top], ["archive"]).select(F.array_join("path", "/").alias("path"))
 
 
 @query("SELECT p_type || '/' || p_brand || '/' || p_partkey AS path FROM part WHERE p_type <> (SELECT min(p_type) FROM part)")
@@ -573,22 +720,47 @@ def dump_filtered(spark, d):
     return tools.dump(orders_kv(spark, d), prefix=b"\x16\x02")
 
 
-# Streams
+@query("""SELECT event_id, CAST(event_id - 5000 AS DECIMAL(20, 0)) AS distance, event_id + 1 AS first_after, event_id + 3 AS third_after,
+'<0,0,0,0,0,0,' || event_id // 256 || ',' || event_id % 256 || '>' AS shown, true AS valid FROM events""")
+def version_functions(spark, d):
+    e, v = table(spark, d, "events"), F.col("event_id")
+    after = keys.version_sequence(v, F.lit(3))
+    return e.select(
+        "event_id", keys.version_distance(v, F.lit(5000)).cast("decimal(20,0)").alias("distance"), after[0].alias("first_after"), after[2].alias("third_after"),
+        keys.version_string(v).alias("shown"), keys.version_valid(keys.version_bytes(v)).alias("valid"),
+    )
+
+
+@query("""SELECT n_nationkey, CASE n_nationkey % 6 WHEN 0 THEN 'layout_log' WHEN 1 THEN 'shard_key' WHEN 2 THEN 'shard' WHEN 3 THEN 'materializer_key' WHEN 4 THEN 'unknown' ELSE 'error' END AS kind,
+CASE WHEN n_nationkey % 6 < 4 THEN n_name END AS parameter, n_nationkey % 6 < 5 AS system FROM nation""")
+def system_keys(spark, d):
+    starts = [keys.SYSTEM + k.encode() for k in keys.SYSTEM_KINDS.values()] + [keys.SYSTEM + b"/else/", b"user/"]
+    n = table(spark, d, "nation")
+    start = F.element_at(F.array(*[F.lit(bytearray(x)) for x in starts]), (F.col("n_nationkey") % 6 + 1).cast("int"))
+    n = n.select("n_nationkey", F.concat(start, F.col("n_name").cast("binary")).alias("key"))
+    kind, rest = keys.system_kind(F.col("key"))
+    return n.select("n_nationkey", kind.alias("kind"), rest.cast("string").alias("parameter"), keys.is_system_key(F.col("key")).alias("system"))
 
 
-def _folder(spark) -> str:
-    """A folder of its own below the shared one; a local one only where no shared folder is named."""
-    import uuid
+@query(f"SELECT min(v) AS progress FROM (SELECT max(version) AS v FROM {_LOG} GROUP BY tag)")
+def metadata_progress(spark, d):
+    """Up to where every proxy has seen the metadata, so that older entries can go."""
+    return logs.durable(event_log(spark, d)).withColumnRenamed("version", "progress")
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidepool-")
-    return f"{base}/{uuid.uuid4().hex}"
+
+@query("SELECT count(*) AS keys, min(o_orderkey) AS first_key, max(o_orderkey) AS last_key FROM orders")
+def key_statistics(spark, d):
+    return tools.key_statistics(table(spark, d, "orders"), "o_orderkey")
+
+
+# Streams
 
 
 @query(f"SELECT k, max(version) AS version, arg_max_null(value, version) AS value FROM {_LOG} GROUP BY k")
 def stream_materialise(spark, d):
     from .streaming.materialise import materialise
 
-    base = _folder(spark)
+    base = new_folder(spark)
     log = event_log(spark, d).select("k", "version", F.col("operand").alias("value"))
     log.repartitionByRange(4, "version").write.parquet(f"{base}/log")
     return materialise(spark, f"{base}/log", log.schema, f"{base}/state", f"{base}/checkpoint")
@@ -601,9 +773,9 @@ SELECT CAST(tag AS BIGINT) AS tag, first, version AS last, n FROM f WHERE done""
 def stream_shard_flush(spark, d):
     from .streaming.materialise import buffered
 
-    base = _folder(spark)
+    base = new_folder(spark)
     log = event_log(spark, d).select(F.col("tag").cast("long").alias("tag"), "version")
-    log.coalesce(1).write.parquet(f"{base}/log")
+    log.repartitionByRange(4, "version").write.parquet(f"{base}/log")
     flushes = buffered(spark.readStream.schema(log.schema).parquet(f"{base}/log"), 500)
     q = flushes.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()

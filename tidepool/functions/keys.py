@@ -113,6 +113,57 @@ def version_add(version: Column, by: Column) -> Column:
     return F.when(total.between(0, 2**63 - 1), total.cast("long")).otherwise(F.raise_error(F.lit("version out of range")).cast("long"))
 
 
+def version_distance(a: Column, b: Column) -> Column:
+    """a - b, exact where it leaves the longs."""
+    return a.cast("decimal(20,0)") - b.cast("decimal(20,0)")
+
+
+def version_sequence(base: Column, count: Column) -> Column:
+    """The `count` (1 or more) versions after base, as an array."""
+    return F.sequence(version_add(base, F.lit(1)), version_add(base, count))
+
+
+def version_valid(value: Column) -> Column:
+    """Whether a binary value is a version: eight bytes."""
+    return F.coalesce(F.octet_length(value) == 8, F.lit(False))
+
+
+def version_string(version: Column) -> Column:
+    """A version's bytes in decimal, as <0,0,0,0,0,0,1,2>; null as nil."""
+    digits = F.lpad(F.hex(version), 16, "0")
+    byte = lambda i: F.conv(F.substr(digits, F.lit(2 * i + 1), F.lit(2)), 16, 10)
+    return F.coalesce(F.concat(F.lit("<"), F.concat_ws(",", *[F.when(version.isNotNull(), byte(i)) for i in range(8)]), F.when(version.isNotNull(), F.lit(">"))), F.lit("nil"))
+
+
+#: Where system keys begin, and the kinds of them, more specific starts first.
+SYSTEM = b"\xff/system"
+SYSTEM_KINDS = {"layout_log": "/layout/logs/", "shard_key": "/shard_keys/", "shard": "/shards/", "materializer_key": "/materializer_keys/"}
+
+
+def is_system_key(key: Column) -> Column:
+    """As a range, which parquet scans can use."""
+    return contains(key, SYSTEM, strinc(SYSTEM))
+
+
+def is_metadata_key(key: Column) -> Column:
+    return key >= F.lit(bytearray(b"\xff"))
+
+
+def system_kind(key: Column) -> tuple[Column, Column]:
+    """What kind of system key it is and its parameter's bytes: unknown for others of the system's, error for other keys."""
+    kind, rest = F.when(is_system_key(key), "unknown").otherwise("error"), F.lit(None).cast("binary")
+    for name, start in reversed(SYSTEM_KINDS.items()):
+        p = SYSTEM + start.encode()
+        inside = contains(key, p, strinc(p))
+        kind, rest = F.when(inside, name).otherwise(kind), F.when(inside, F.substr(key, F.lit(len(p) + 1))).otherwise(rest)
+    return kind, rest
+
+
+def random_id(bytes_: int = 5) -> Column:
+    """A random id of so many bytes (16 at most), in hex."""
+    return F.substr(F.replace(F.expr("uuid()"), F.lit("-"), F.lit("")), F.lit(1), F.lit(2 * bytes_))
+
+
 def compare_versions(a: Column, b: Column) -> Column:
     return F.signum((a - b).cast("double")).cast("int")
 

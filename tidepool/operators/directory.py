@@ -1,6 +1,7 @@
 """Directories: paths as arrays of names, each with a prefix, a layer and metadata.
 
-A directory table is (path array<string>, prefix binary, layer string). Subtrees are found by comparing
+A directory table is (path array<string>, prefix binary, layer string); a row with an empty path is the root.
+A path without a row of its own exists as long as a row below it does, when it is moved or removed. Subtrees are found by comparing
 path arrays, never by packed bytes. Changes return a new table.
 """
 from __future__ import annotations
@@ -14,6 +15,9 @@ class DirectoryError(ValueError):
 
 #: Fixed value: the layout's version.
 LAYOUT_VERSION = (1, 0, 0)
+#: Fixed value: the prefix of the directories' own metadata, which is the root's.
+ROOT = b"\xfe"
+SCHEMA = "path array<string>, prefix binary, layer string"
 
 
 def validate(path) -> tuple[str, ...]:
@@ -64,11 +68,42 @@ def children(table: DataFrame, parent) -> DataFrame:
 def prefix_free(table: DataFrame, prefix: bytes) -> bool:
     """Whether no directory's prefix starts with prefix, nor prefix with a directory's."""
     p = F.lit(bytearray(prefix))
-    return not table.where(F.startswith(F.col("prefix"), p) | F.startswith(p, F.col("prefix"))).limit(1).count()
+    return not table.where(F.size("path") > 0).where(F.startswith(F.col("prefix"), p) | F.startswith(p, F.col("prefix"))).limit(1).count()
+
+
+def root(spark, version: tuple[int, int, int] = LAYOUT_VERSION) -> DataFrame:
+    """A directory table that holds its root alone: an empty path, the metadata's own prefix, the layout's version as layer."""
+    return spark.createDataFrame([([], bytearray(ROOT), ".".join(map(str, version)))], SCHEMA)
+
+
+def layout_version(table: DataFrame) -> tuple[int, int, int]:
+    """The version that the table's root names; this layout's where there is no root."""
+    row = table.where(F.size("path") == 0).first()
+    return LAYOUT_VERSION if row is None else tuple(int(x) for x in row["layer"].split("."))  # type: ignore[return-value]
+
+
+def _writable(table: DataFrame) -> None:
+    check_version(layout_version(table), True)
+
+
+def _row(table: DataFrame, path):
+    row = table.where(_is(F.col("path"), validate(path))).first()
+    if row is None:
+        raise DirectoryError("directory_does_not_exist")
+    return row
+
+
+def path_of(row) -> list[str]:
+    return list(row["path"])
+
+
+def layer_of(row) -> str | None:
+    return row["layer"] if row["path"] else None
 
 
 def create(table: DataFrame, path, prefix: bytes, layer: str | None = None) -> DataFrame:
     names = validate(path)
+    _writable(table)
     if not names:
         raise DirectoryError("cannot_create_root")
     if exists(table, names):
@@ -82,8 +117,8 @@ def create(table: DataFrame, path, prefix: bytes, layer: str | None = None) -> D
 
 def open_(table: DataFrame, path) -> DataFrame:
     """The directory's row, with partition: whether its layer says so."""
-    if not exists(table, path):
-        raise DirectoryError("directory_does_not_exist")
+    check_version(layout_version(table), False)
+    _row(table, path)
     return table.where(_is(F.col("path"), validate(path))).withColumn("partition", F.coalesce(F.col("layer") == "partition", F.lit(False)))
 
 
@@ -92,20 +127,36 @@ def create_or_open(table: DataFrame, path, prefix: bytes, layer: str | None = No
 
 
 def moved(table: DataFrame, old, new) -> DataFrame:
-    """The table with the subtree at old renamed to new; prefixes stay."""
+    """The table with the subtree at old renamed to new; prefixes stay. A partition does not move, nor onto a path that exists or has no parent."""
     old, new = validate(old), validate(new)
     if not old or not new:
         raise DirectoryError("cannot_move_root")
     if new[: len(old)] == old:
         raise DirectoryError("cannot_move_to_subdirectory")
+    _writable(table)
+    if not table.where(under(F.col("path"), old)).limit(1).count():
+        raise DirectoryError("directory_does_not_exist")
+    if table.where(_is(F.col("path"), old) & (F.col("layer") == "partition")).limit(1).count():
+        raise DirectoryError("cannot_move_partition")
+    if table.where(under(F.col("path"), new)).limit(1).count():
+        raise DirectoryError("directory_already_exists")
+    if len(new) > 1 and not table.where(under(F.col("path"), new[:-1])).limit(1).count():
+        raise DirectoryError("parent_directory_does_not_exist")
     path = F.col("path")
     tail = F.slice(path, F.lit(len(old) + 1), F.greatest(F.size(path) - len(old), F.lit(0)))
     return table.withColumn("path", F.when(under(path, old), F.concat(F.array(*[F.lit(p) for p in new]), tail)).otherwise(path))
 
 
-def removed(table: DataFrame, path) -> DataFrame:
+def removed(table: DataFrame, path, missing_ok: bool = False) -> DataFrame:
     """The table without the subtree at path; contents under its prefixes are not touched."""
     names = validate(path)
     if not names:
         raise DirectoryError("cannot_remove_root")
+    _writable(table)
+    if not missing_ok and not table.where(under(F.col("path"), names)).limit(1).count():
+        raise DirectoryError("directory_does_not_exist")
     return table.where(~under(F.col("path"), names))
+
+
+def removed_if_exists(table: DataFrame, path) -> DataFrame:
+    return removed(table, path, missing_ok=True)

@@ -1,8 +1,9 @@
 """Atomic operations folded over a log, by key and in (version, txn, seq) order."""
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import atomics
 from ..functions.keys import MAX_VALUE, le_decode, le_encode
@@ -28,31 +29,49 @@ def bytewise(log: DataFrame, op: str) -> DataFrame:
     return log.groupBy("key").agg(best.alias("value"))
 
 
-def _ordered(*cols: str) -> Column:
-    return F.array_sort(F.collect_list(F.struct(*ORDER, *cols)))
+def _joined(values: Column) -> Column:
+    """An array of binary values as one, in a single pass."""
+    return F.unhex(F.array_join(F.transform(values, F.hex), ""))
 
 
 def append_if_fits(log: DataFrame, limit: int = MAX_VALUE) -> DataFrame:
-    """key, value: operands joined in order, leaving out those that would pass the limit."""
-    empty = F.unhex(F.lit(""))
-    joined = F.aggregate(
-        F.col("ops"), empty, lambda v, x: F.when(F.octet_length(v) + F.octet_length(x["operand"]) <= limit, F.concat(v, x["operand"])).otherwise(v)
+    """key, value: operands joined in order, leaving out those that would pass the limit.
+
+    A running sum finds what fits without a gap: at most `limit` bytes of a key. Of the operands after the first one that did not
+    fit, those larger than the room left can never fit; only the others are folded one by one.
+    """
+    order, size = Window.partitionBy("key").orderBy(*ORDER), F.octet_length("operand")
+    rows = log.select("key", *ORDER, "operand").withColumn("run", F.sum(size).over(order))
+    fits = F.max(F.when(F.col("run") <= limit, F.col("run"))).over(Window.partitionBy("key"))
+    rows = rows.withColumn("room", limit - F.coalesce(fits, F.lit(0))).where((F.col("run") <= limit) | ((size <= F.col("room")) & (size > 0)))
+    at = F.struct(*ORDER, "operand")
+    both = rows.groupBy("key").agg(
+        F.array_sort(F.collect_list(F.when(F.col("run") <= limit, at))).alias("first"), F.array_sort(F.collect_list(F.when(F.col("run") > limit, at))).alias("later")
     )
-    return log.groupBy("key").agg(_ordered("operand").alias("ops")).select("key", joined.alias("value"))
+    value = _joined(F.transform("first", lambda x: x["operand"]))
+    more = F.aggregate("later", value, lambda v, x: F.when(F.octet_length(v) + F.octet_length(x["operand"]) <= limit, F.concat(v, x["operand"])).otherwise(v))
+    return log.select("key").distinct().join(both.select("key", more.alias("value")), "key", "left").select("key", F.coalesce("value", F.unhex(F.lit(""))).alias("value"))
 
 
 def compare_and_clear(log: DataFrame) -> DataFrame:
-    """key, value after sets (op set) and compare_and_clear operands in order; null: cleared or missing."""
-    none = F.lit(None).cast("binary")
-    step = lambda v, x: F.when(x["op"] == "set", x["operand"]).when(v == x["operand"], none).otherwise(v)
-    return log.groupBy("key").agg(_ordered("op", "operand").alias("ops")).select("key", F.aggregate("ops", none, step).alias("value"))
+    """key, value after sets (op set) and compare_and_clear operands in order; null: cleared or missing.
+
+    Only what follows a key's newest set matters, and there any equal operand clears it: two aggregates, whatever the order.
+    """
+    at = F.struct(*ORDER)
+    newest = log.groupBy("key").agg(F.max_by(F.struct(at.alias("at"), "operand"), F.when(F.col("op") == "set", at)).alias("x"))
+    newest = newest.select("key", "x.at", F.col("x.operand").alias("value"))
+    equal = log.where("op <> 'set'").join(newest, "key").where((at > F.col("at")) & (F.col("operand") == F.col("value"))).select("key").distinct()
+    gone = equal.withColumn("gone", F.lit(True))
+    return newest.join(gone, "key", "left").select("key", F.when(F.col("gone").isNull(), F.col("value")).alias("value"))
 
 
 def general(log: DataFrame, base: DataFrame | None = None) -> DataFrame:
     """key, value after any mix of set, clear and atomic ops of any width, starting at base (key, value).
 
-    The fallback for what the aggregates above cannot express: one key's operations at a time, in Python.
-    Compact the log to the newest set or clear of each key first, which an ordered fold never looks past.
+    The fallback for what the aggregates above cannot express. The log is first reduced to what follows each key's newest set or
+    clear, which an ordered fold never looks past; then sorted partitions are walked with one value in hand, so
+    a key with many operations needs no memory for them.
     """
     start = log.where(F.col("op").isin("set", "clear")).groupBy("key").agg(F.max(F.struct(*ORDER)).alias("from"))
     rows = log.join(start, "key", "left").where(F.col("from").isNull() | (F.struct(*ORDER) >= F.col("from")))
@@ -60,14 +79,25 @@ def general(log: DataFrame, base: DataFrame | None = None) -> DataFrame:
     if base is not None:
         first = base.select("key", F.lit(-1).cast("long").alias("version"), F.lit(-1).alias("txn"), F.lit(-1).alias("seq"), F.lit("set").alias("op"), F.col("value").alias("operand"))
         rows = rows.unionByName(first)
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        value = None
-        for op, operand in pdf.sort_values(list(ORDER))[["op", "operand"]].itertuples(index=False):
-            value = operand if op == "set" else None if op == "clear" else atomics.apply(op, value, operand)
-        return pd.DataFrame({"key": [pdf["key"].iloc[0]], "value": [value]})
-
-    return rows.groupBy("key").applyInPandas(fold, f"key {rows.schema['key'].dataType.simpleString()}, value binary")
+    kind = rows.schema["key"].dataType
+    arrow = to_arrow_type(kind)
+
+    def fold(batches):
+        key, value, begun = None, None, False
+        for batch in batches:
+            out = []
+            for k, op, operand in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if not begun or k != key:
+                    if begun:
+                        out.append((key, value))
+                    key, value, begun = k, None, True
+                value = operand if op == "set" else None if op == "clear" else atomics.apply(op, value, operand)
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], arrow), pa.array([x[1] for x in out], pa.binary())], ["key", "value"])
+        if begun:
+            yield pa.RecordBatch.from_arrays([pa.array([key], arrow), pa.array([value], pa.binary())], ["key", "value"])
+
+    ordered = rows.repartition("key").sortWithinPartitions("key", *ORDER).select("key", "op", "operand")
+    return ordered.mapInArrow(fold, f"key {kind.simpleString()}, value binary")
 
 
 def superseded(log: DataFrame) -> DataFrame:

@@ -3,6 +3,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from .ranges import covering
+
 
 def merged(stored: DataFrame, pending: DataFrame, cleared: DataFrame | None = None) -> DataFrame:
     """key, value as the transaction sees it.
@@ -12,7 +14,7 @@ def merged(stored: DataFrame, pending: DataFrame, cleared: DataFrame | None = No
     """
     base = stored
     if cleared is not None:
-        base = stored.join(cleared, (F.col("key") >= F.col("s")) & (F.col("key") < F.col("e")), "left_anti")
+        base = stored.join(covering(stored.select("key"), cleared.select("s", "e"), "key").select("key").distinct(), "key", "left_anti")
     p = pending.select("key", F.col("value").alias("new"), F.lit(True).alias("written"))
     both = base.join(p, "key", "full_outer")
     seen = both.select("key", F.when(F.col("written"), F.col("new")).otherwise(F.col("value")).alias("value"))

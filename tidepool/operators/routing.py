@@ -6,29 +6,55 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .ranges import covering, overlap_join
+
+#: Shards that a lookup may write out as one expression; beyond them it is a join.
+FEW = 64
 #: Fixed value: 2^64 over the golden ratio.
 GOLDEN = 0x9E3779B97F4A7C15
 
 
 def with_starts(shards: DataFrame, first) -> DataFrame:
     """tag, start, end; shard maps are small."""
-    return shards.select("tag", F.coalesce(F.lag("end").over(Window.orderBy("end")), F.lit(first)).alias("start"), "end")
+    return shards.select("tag", F.coalesce(F.lag("end").over(Window.orderBy("end")), first if isinstance(first, Column) else _literal(first)).alias("start"), "end")
 
 
-def lookup(rows: DataFrame, key: str, shards: list[tuple[int, int]]) -> DataFrame:
-    """rows with tag: the shard of the smallest end above the key; null beyond the last. shards: (tag, end)."""
-    tag: Column = F.lit(None).cast("int")
-    for t, end in sorted(shards, key=lambda x: -x[1]):
-        tag = F.when(F.col(key) < end, F.lit(t)).otherwise(tag)
-    return rows.withColumn("tag", tag)
+def _literal(x):
+    return F.lit(bytearray(x)) if isinstance(x, (bytes, bytearray)) else F.lit(x)
 
 
-def clamp(ranges: DataFrame, shards: DataFrame) -> DataFrame:
-    """ranges (..., s, e) cut at shard bounds: a row for each shard it meets, with tag and the part inside.
+def lookup(rows: DataFrame, key: str, shards: list[tuple]) -> DataFrame:
+    """rows with tag: the shard of the smallest end above the key; null beyond the last. shards: (tag, end), integer or binary.
 
-    The shard map is broadcast: it is a small table by construction, a row for each shard.
+    A choice of FEW ends is made by halving, so a row compares with the logarithm of their number; more shards are a table.
     """
-    met = ranges.join(F.broadcast(shards), (F.col("s") < F.col("end")) & (F.col("start") < F.col("e")))
+    if len(shards) > FEW:
+        spark, binary = rows.sparkSession, isinstance(shards[0][1], (bytes, bytearray))
+        ends = spark.createDataFrame([(t, bytearray(e) if binary else e) for t, e in shards], f"tag int, end {'binary' if binary else 'long'}")
+        last = _literal(max(e for _, e in shards))
+        found = lookup_in(rows.where(F.col(key) < last), key, with_starts(ends, _literal(b"") if binary else F.lit(-(2**62))))
+        return found.unionByName(rows.where(F.col(key) >= last).withColumn("tag", F.lit(None).cast("int")))
+    ordered = sorted(shards, key=lambda x: x[1])
+
+    def choose(part: list[tuple]) -> Column:
+        if not part:
+            return F.lit(None).cast("int")
+        mid = len(part) // 2
+        if len(part) == 1:
+            return F.when(F.col(key) < _literal(part[0][1]), F.lit(part[0][0]))
+        return F.when(F.col(key) < _literal(part[mid - 1][1]), choose(part[:mid])).otherwise(choose(part[mid:]))
+
+    return rows.withColumn("tag", choose(ordered))
+
+
+def lookup_in(rows: DataFrame, key: str, shards: DataFrame) -> DataFrame:
+    """rows with tag, from a shard map (tag, start, end) of any size; rows beyond every shard are left out."""
+    return covering(rows, shards.withColumnRenamed("start", "__start").withColumnRenamed("end", "__end"), key, s="__start", e="__end").drop("__start", "__end")
+
+
+def clamp(ranges: DataFrame, shards: DataFrame) -> DataFrame:
+    """ranges (..., s, e) cut at shard bounds: a row for each shard it meets, with tag and the part inside."""
+    met = overlap_join(ranges, shards, [], ("s", "e"), ("start", "end"))
     return met.withColumn("s", F.greatest("s", "start")).withColumn("e", F.least("e", "end")).drop("start", "end")
 
 

@@ -30,6 +30,18 @@ class KeySelector:
     def subtract(self, n: int) -> KeySelector:
         return self.add(-n)
 
+    def sign(self) -> int:
+        """-1, 0 or 1: whether the offset points below, at or above the key."""
+        return (self.offset > 0) - (self.offset < 0)
+
+    def __str__(self) -> str:
+        """As a constructor's call, with first_greater_or_equal as the base of all others."""
+        for make in (first_greater_or_equal, first_greater_than, last_less_or_equal, last_less_than):
+            if make(self.key) == self:
+                return f"{make.__name__}({self.key!r})"
+        n = self.offset if self.or_equal else self.offset - 1
+        return f"first_greater_or_equal({self.key!r}) {'+' if n > 0 else '-'} {abs(n)}"
+
 
 def first_greater_or_equal(key: bytes) -> KeySelector:
     return KeySelector(key, True, 0)
@@ -68,7 +80,8 @@ def split_points(keys: DataFrame, ranges: int | None = None) -> list:
     """Keys that cut the table into about equal ranges, from a bounded sample."""
     n = keys.count()
     ranges = ranges or min(MOST_RANGES, max(FEWEST_RANGES, n // KEYS_A_RANGE))
-    some = keys.select("key") if n <= 20_000 else keys.select("key").where(F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < int(2e10 / n))
+    # compared in 63 bits, so that the share kept is right for any n
+    some = keys.select("key") if n <= 20_000 else keys.select("key").where(F.shiftrightunsigned(F.xxhash64("key"), 1) < F.lit((20_000 << 63) // n))
     found = sorted(r[0] for r in some.distinct().collect())
     step = max(1, len(found) // ranges)
     return found[step::step][: ranges - 1]

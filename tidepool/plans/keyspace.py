@@ -2,13 +2,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import singledispatch
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Row, functions as F
 
 from ..functions.keys import contains, strinc
-from ..functions.tuples import pack
+from ..functions.tuples import pack, unpack
 
 
 @dataclass(frozen=True)
@@ -19,13 +19,34 @@ class Keyspace:
     decode_key: Callable[[Column], Column] | None = None
     decode_value: Callable[[Column], Column] | None = None
 
+    @staticmethod
+    def all() -> Keyspace:
+        """The keyspace of all keys."""
+        return Keyspace()
+
     def add(self, *names) -> Keyspace:
         """The keyspace below this one for packed names."""
-        return Keyspace(self.prefix + pack(*names), self.decode_key, self.decode_value)
+        return replace(self, prefix=self.prefix + pack(*names))
+
+    def partition(self, name, encode: Callable | None = None, decode_key=None, decode_value=None) -> Keyspace:
+        """The keyspace below this one for raw bytes, or for what `encode` makes of a name."""
+        if encode is None and not isinstance(name, (bytes, bytearray)):
+            raise ValueError("a keyspace without a key encoding is divided by bytes")
+        prefix = self.prefix + (bytes(name) if encode is None else encode(name))
+        return Keyspace(prefix, decode_key or self.decode_key, decode_value or self.decode_value)
 
     def key(self, *items) -> bytes:
         return self.prefix + pack(*items)
 
+    def unpack(self, key: bytes) -> tuple:
+        """The items of a key of this keyspace."""
+        if not self.contains(key):
+            raise ValueError("the key does not belong to this keyspace")
+        return unpack(key[len(self.prefix) :])
+
+    def __str__(self) -> str:
+        return f"Keyspace<{self.prefix!r}>"
+
     def contains(self, key: bytes) -> bool:
         return key.startswith(self.prefix)
 
@@ -63,5 +84,13 @@ def _(x: Keyspace) -> tuple[bytes, bytes]:
     return to_range(x.prefix)
 
 
+@to_range.register
+def _(x: Row) -> tuple[bytes, bytes]:
+    return to_range(to_keyspace(x))
+
+
 def to_keyspace(x) -> Keyspace:
-    return x if isinstance(x, Keyspace) else Keyspace(bytes(x))
+    """A keyspace as it is, the one of a prefix, or that of a directory's row."""
+    if isinstance(x, Keyspace):
+        return x
+    return Keyspace(bytes(x["prefix"] if isinstance(x, Row) else x))

@@ -33,6 +33,11 @@ def page_statistics(rows: DataFrame, page: str) -> DataFrame:
     )
 
 
+def key_statistics(rows: DataFrame, key: str) -> DataFrame:
+    """keys, first_key, last_key."""
+    return rows.agg(F.count(F.lit(1)).alias("keys"), F.min(key).alias("first_key"), F.max(key).alias("last_key"))
+
+
 def histogram(rows: DataFrame, page: str, width: int) -> DataFrame:
     """bucket (keys on a page, rounded down to width) and pages in it."""
     per = rows.groupBy(page).agg(F.count(F.lit(1)).alias("n"))

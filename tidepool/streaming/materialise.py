@@ -16,34 +16,66 @@ def follow(spark: SparkSession, log_path: str, schema, files_per_trigger: int =
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(log_path)
 
 
-def fold_into(state_path: str, spark: SparkSession):
-    """A foreachBatch sink: newest entry of each key over what the state holds (key..., version, value).
+def _newest(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("k").agg(F.max("version").alias("version"), F.max_by("value", "version").alias("value"))
 
-    Each batch reads the last finished generation and writes the next one, so a batch that is tried
-    again starts from the same state and leaves the same result.
-    """
-
-    def sink(batch: DataFrame, epoch: int) -> None:
-        new = batch.groupBy("k").agg(F.max("version").alias("version"), F.max_by("value", "version").alias("value"))
-        if epoch > 0:
-            old = spark.read.parquet(f"{state_path}/{epoch - 1}")
-            new = old.unionByName(new).groupBy("k").agg(F.max("version").alias("version"), F.max_by("value", "version").alias("value"))
-        new.write.mode("overwrite").parquet(f"{state_path}/{epoch}")
 
-    return sink
+class State:
+    """The newest entry of each key (k, version, value), as a base and the changes of each batch since.
 
+    A batch writes its own keys only, under its own number, so one that is tried again leaves the same result. Every `compact`
+    batches the changes are folded into a new base, and what it replaces is deleted.
+    """
 
-def materialise(spark: SparkSession, log_path: str, schema, state_path: str, checkpoint: str) -> DataFrame:
+    def __init__(self, spark: SparkSession, path: str, compact: int = 16):
+        self.spark, self.path, self.compact = spark, path.rstrip("/"), compact
+        self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _epochs(self, kind: str) -> list[int]:
+        folder = self._path(f"{self.path}/{kind}")
+        if not self._fs.exists(folder):
+            return []
+        names = [s.getPath().getName() for s in self._fs.listStatus(folder)]
+        return sorted(int(n) for n in names if n.isdigit() and self._fs.exists(self._path(f"{self.path}/{kind}/{n}/_SUCCESS")))
+
+    def _parts(self) -> list[str]:
+        base = self._epochs("base")[-1:]
+        return [f"{self.path}/base/{e}" for e in base] + [f"{self.path}/changes/{e}" for e in self._epochs("changes") if not base or e > base[-1]]
+
+    def read(self, schema) -> DataFrame:
+        parts = self._parts()
+        if not parts:
+            return self.spark.createDataFrame([], schema)
+        rows = self.spark.read.schema(schema).parquet(*parts)
+        return rows if len(parts) == 1 else _newest(rows)
+
+    def sink(self, batch: DataFrame, epoch: int) -> None:
+        """For foreachBatch."""
+        new = _newest(batch)
+        new.write.mode("overwrite").parquet(f"{self.path}/changes/{epoch}")
+        if (epoch + 1) % self.compact == 0:
+            if epoch not in self._epochs("base"):  # a batch that is tried again finds its base
+                self.read(new.schema).write.mode("overwrite").parquet(f"{self.path}/base/{epoch}")
+            for kind, keep in (("base", epoch), ("changes", epoch + 1)):
+                for old in self._epochs(kind):
+                    if old < keep:
+                        self._fs.delete(self._path(f"{self.path}/{kind}/{old}"), True)
+
+
+def materialise(spark: SparkSession, log_path: str, schema, state_path: str, checkpoint: str, files_per_trigger: int = 8, compact: int = 16) -> DataFrame:
     """Follows the log to its present end; k, version, value of every key, cleared ones with a null value."""
-    q = follow(spark, log_path, schema).writeStream.foreachBatch(fold_into(state_path, spark)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    state = State(spark, state_path, compact)
+    log = follow(spark, log_path, schema, files_per_trigger)
+    q = log.writeStream.foreachBatch(state.sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
-    last = q.lastProgress
-    return spark.read.parquet(f"{state_path}/{last['batchId']}") if last else spark.createDataFrame([], "k long, version long, value string")
+    return state.read(log.select("k", "version", "value").schema)
 
 
 def buffered(log: DataFrame, span: int = FLUSH_SPAN) -> DataFrame:
     """tag, first, last, n of each flush of a streaming log (tag, version): a shard's buffer is flushed by
-    the first version that lies `span` or more after its oldest one, which is flushed with it.
+    the first version that lies `span` or more after its oldest one, which is flushed with it. Files may come in any
+    order within a trigger; the versions of a later trigger must be above those of the ones before.
 
     The state of a shard is three numbers: the versions themselves belong to the sink.
     """
