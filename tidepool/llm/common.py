@@ -42,17 +42,28 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
-    """df written as Parquet to the shared folder and read back: smaller on disk than a checkpoint."""
-    spark = df.sparkSession
+def new_path(spark: SparkSession, what: str) -> str:
+    """A path of its own in the shared folder."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(shared_folder(spark))
-    path = f"{sc._jsc.sc().getCheckpointDir().get()}/{what}-{uuid.uuid4().hex}"
+    return f"{sc._jsc.sc().getCheckpointDir().get()}/{what}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, what: str, path: str | None = None) -> DataFrame:
+    """df written as Parquet to the shared folder and read back: smaller on disk than a checkpoint."""
+    spark = df.sparkSession
+    path = path or new_path(spark, what)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Removes a folder that written() made, on whatever file system it is."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def slices(batches: Iterable[pa.RecordBatch], n: int = SLICE) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of n at most, so that few texts are Python objects at once."""
     for batch in batches:

@@ -12,7 +12,8 @@ holds more than a few groups whatever the size of a source.
 Draws are hashes of the document's keys and a seed, so reruns agree whatever the partitioning.
 
 Defined results: a null text has size 0; a null source is a source of its own, last in order; sources
-whose size is 0 have target 0 and take nothing; repeated rows are units of their own and each gets a
+whose size is 0 have target 0 and take nothing; a very long text is one unit like others, so its source may miss its target by
+as much as its words; ties in draws go by hash; repeated rows are units of their own and each gets a
 row; an empty table gives an empty result; other columns are ignored.
 """
 from __future__ import annotations
@@ -37,24 +38,34 @@ def units_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     return n.select("id", "source", "size", "th", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("dup"))
 
 
+def _in_order(sources: DataFrame) -> DataFrame:
+    """sources with rn: 1, 2, ... by code point, null last. Ranges of names are numbered apart, so no task holds all sources."""
+    ranged = cut(sources.repartitionByRange(F.col("source").asc_nulls_last()).withColumn("part", F.spark_partition_id()))
+    sizes = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("k"))  # a row for each partition
+    before = sizes.select("part", (F.sum("k").over(Window.orderBy("part")) - F.col("k")).alias("before"))
+    place = F.row_number().over(Window.partitionBy("part").orderBy(F.col("source").asc_nulls_last()))
+    return ranged.withColumn("place", place).join(F.broadcast(before), "part").withColumn("rn", F.col("before") + F.col("place")).drop("part", "before", "place")
+
+
 def source_targets(units: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
     """source, source_size, n, target: a row for each source.
 
-    weight * level, with the one level at which targets, none over `most` times its source, sum to
-    share * all sizes: sources in the order of cap / weight fill up one after the other, and the level
-    is the largest of those that would hold if exactly the sources before were full.
+    weight * level, or `most` times the source where that is less. The level starts at share * all sizes over all weights; the
+    excess of the sources that are full at a level raises it for the others, until no more are full. Each step is one aggregate of
+    whole numbers over the sources, so the level has the same bits in every run.
     """
     sizes = units.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    all_, before = Window.partitionBy(), Window.orderBy("ratio", "rn").rowsBetween(Window.unboundedPreceding, -1)
-    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), ((F.col("rn") - 1) % len(weights) + 1).cast("int"))
-    s = sizes.withColumn("rn", F.row_number().over(by_name)).withColumn("w", w)
-    s = s.withColumn("cap", F.col("source_size") * F.lit(most)).withColumn("ratio", F.col("cap") / F.col("w"))
-    s = s.withColumn("total", F.sum("source_size").over(all_) * F.lit(share)).withColumn("all_w", F.sum("w").over(all_))
-    full_cap, full_w = (F.coalesce(F.sum(c).over(before), F.lit(0.0)) for c in ("cap", "w"))
-    s = s.withColumn("level", (F.col("total") - full_cap) / (F.col("all_w") - full_w))
-    s = s.withColumn("target", F.least("cap", F.col("w") * F.max("level").over(all_)))
-    return s.select("source", "source_size", "n", "target")
+    w = F.element_at(F.array(*[F.lit(x) for x in weights]), ((F.col("rn") - 1) % len(weights) + 1).cast("int"))
+    s = cut(_in_order(sizes).withColumn("w", w).drop("rn"))
+    size, all_w = s.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("w"), F.lit(0))).first()
+    cap, level, full_w = F.col("source_size") * F.lit(float(most)), 0.0, -1
+    full_size, now = 0, 0
+    while now != full_w and now < all_w:
+        full_w, level = now, (share * size - most * full_size) / (all_w - now)
+        full = cap <= F.col("w") * F.lit(level)
+        full_size, now = s.where(full).agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("w"), F.lit(0))).first()
+    target = F.least(cap, F.col("w") * F.lit(level)) if now < all_w else cap
+    return s.select("source", "source_size", "n", target.alias("target"))
 
 
 def _uniform(*cols: Column, seed: int) -> Column:
