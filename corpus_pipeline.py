@@ -9,6 +9,14 @@ columns of documents:
 - mix: a document appears as often as the mix of the sources takes it (0, 1 or 2 times);
 - bpe: doc_id, n_tokens, ids_sha256 and decoded_sha256 of the encoded and decoded text.
 Rows that are repeated by the mix are repeated in the result.
+
+Defined results: a null or empty text is scored by the classifier's bias alone and stays if that accepts it, has no copies and no
+secrets, and is mixed in as often as its source takes every document (it adds no words); very long texts pass every stage whole. Rows with one id
+and equal texts are copies of each other, those with one id and different texts are documents of their own; rows
+without an id are never copies and stay until the mix. Of tied copies the smallest id stays, and ties in the mix go by hash. An
+empty table gives an empty result with the same columns. Each stage keeps the columns it is given, whatever
+their names; run() starts from the columns of documents alone. The folders that hold a stage's rows are deleted once
+the next stage is written, but for the last two, which the result may still be read from.
 """
 from __future__ import annotations
 
@@ -16,7 +24,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidepool.llm import bpe, mixing, near_dedup, quality, secret_scan
-from tidepool.llm.common import table, written
+from tidepool.llm.common import delete, new_path, table, written
 from tidepool.llm.queries import bpe_digest
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -56,7 +64,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(*COLUMNS)
+    docs, paths = table(spark, sf_dir, "documents").select(*COLUMNS), []
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        paths.append(new_path(spark, f"pipeline-{name}"))
+        docs = written(stage(spark, docs, sf_dir), name, paths[-1])
+        for path in paths[:-2]:
+            delete(spark, path)
     return STAGES[-1][1](spark, docs, sf_dir)
