@@ -43,10 +43,12 @@ BANDS = SAMPLES // ROWS
 MOST_DIFFERENT = 66
 #: Members of a bucket that all meet each other, and those that any later member meets.
 ALL_PAIRS, PIVOTS = 12, 4
-#: Shingles that so many crowded documents have are common, and how many common ones may be broadcast.
+#: Shingles that so many crowded documents have are common, and how many common ones may be broadcast (8 bytes each).
 COMMON, MOST_COMMON = 64, 4_000_000
 #: Members of a block of a crowded bucket.
 BLOCK = 256
+#: Pairs with one document that meet one copy of its set.
+PAIRS_A_COPY = 128
 #: Bytes of text hashed at a time.
 STEP = 1 << 20
 
@@ -229,33 +231,53 @@ def _shingles(batches):
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], ["x"])
 
 
-def common_shingles(texts: DataFrame) -> tuple[np.ndarray, int]:
-    """The shingles that at least `many` of these documents have, sorted, and `many`, which is such that they are
-    MOST_COMMON at most."""
-    counts = cut(texts.mapInArrow(_shingles, "x long").groupBy("x").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= COMMON))
-    total = counts.agg(F.sum("c")).first()[0] or 0
-    many = max(COMMON, total // MOST_COMMON)
-    found = counts.where(F.col("c") >= many).select("x").toArrow()["x"].to_numpy()
-    return np.sort(found.view(np.uint64)), many
+def common_shingles(texts: DataFrame) -> DataFrame:
+    """x: the shingles that at least COMMON of these documents have."""
+    counts = texts.mapInArrow(_shingles, "x long").groupBy("x").agg(F.count(F.lit(1)).alias("c"))
+    return cut(counts.where(F.col("c") >= COMMON).select("x"))
+
+
+def profiles(texts: DataFrame, most_common: int = MOST_COMMON) -> DataFrame:
+    """id, common (how many common shingles) and rare (those of the rarest quarter that are not common).
+
+    Up to `most_common` common shingles are broadcast; more are joined. The result is the same.
+    """
+    known = common_shingles(texts)
+    if known.count() <= most_common:
+        found = np.sort(known.toArrow()["x"].to_numpy())
+        return texts.mapInArrow(_profiles(texts.sparkSession.sparkContext.broadcast(found)), "id long, common long, rare array<bigint>")
+    rows = texts.mapInArrow(_id_shingles, "id long, x long").join(known.withColumn("often", F.lit(True)), "x", "left")
+    by_id = rows.groupBy("id").agg(F.count("often").alias("common"), F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.when(F.col("often").isNull(), F.col("x")))).alias("xs"))  # a document's own
+    return by_id.select("id", "common", F.slice("xs", F.lit(1), (F.col("n") - F.floor((3 * F.col("n") + 3) / 4) + 1).cast("int")).alias("rare"))
+
+
+def _id_shingles(batches):
+    for batch in batches:
+        for at, data, ends in text_blocks(batch.column(1)):
+            h, n = shingle_sets(data, ends)
+            ids = batch.column(0).slice(at, len(n))
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(np.repeat(np.arange(len(n)), n))), pa.array(h.view(np.int64))], ["id", "x"])
 
 
 def _profiles(shared):
-    """id, common (how many common shingles) and rare (those of the rarest quarter that are not common)."""
+    """For each document its common shingles, by bisection in the broadcast ones, and the smallest of the others."""
 
     def run(batches):
         for batch in batches:
             for at, data, ends in text_blocks(batch.column(1)):
                 h, n = shingle_sets(data, ends)
-                known = shared.value
+                h, known = h.view(np.int64), shared.value
+                doc = np.repeat(np.arange(len(n)), n)
+                order = np.lexsort((h, doc))
+                h = h[order]
                 place = np.searchsorted(known, h)
                 is_common = (known[np.minimum(place, len(known) - 1)] == h) if len(known) else np.zeros(len(h), bool)
-                doc = np.repeat(np.arange(len(n)), n)
                 common = np.bincount(doc, is_common, len(n)).astype(np.int64)
                 rare, of = h[~is_common], doc[~is_common]
                 first = np.cumsum(n - common) - (n - common)
                 keep = np.arange(len(rare)) - first[of] <= (n - (3 * n + 3) // 4)[of]
                 sizes = np.bincount(of[keep], minlength=len(n))
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(rare[keep].view(np.int64)))
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(rare[keep]))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(n)), pa.array(common), lists], ["id", "common", "rare"])
 
     return run
@@ -282,14 +304,27 @@ def _only(docs: DataFrame, nodes: DataFrame, repeated: bool) -> DataFrame:
     return texts.dropDuplicates(["id"]) if repeated else texts
 
 
+def _spread_over_copies(pairs: DataFrame, sets: DataFrame, side: str, other: str) -> tuple[DataFrame, DataFrame]:
+    """pairs and sets with a copy number: a document of many pairs has a copy of its set for every PAIRS_A_COPY of them."""
+    often = pairs.groupBy(side).agg(F.ceil(F.count(F.lit(1)) / PAIRS_A_COPY).cast("int").alias("copies")).where("copies > 1")
+    often = cut(often.withColumnRenamed(side, "of"))
+    few = _few(often, often.count())
+    copies = F.coalesce("copies", F.lit(1))
+    dealt = pairs.join(few, F.col(side) == F.col("of"), "left").withColumn(f"copy_{side}", F.pmod(F.xxhash64(other), copies).cast("int")).drop("of", "copies")
+    own = sets.select(F.col("id").alias(side), F.col("s").alias(f"s{side}")).join(few, F.col(side) == F.col("of"), "left")
+    return dealt, own.select(side, f"s{side}", F.explode(F.sequence(F.lit(0), copies - 1)).alias(f"copy_{side}"))
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, repeated: bool) -> DataFrame:
     """The pairs (a, b) whose full sets have 100 * intersection >= 75 * union."""
     involved = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
     texts = _only(docs, involved, repeated)
     sets = texts.mapInArrow(_sets, "id long, s array<bigint>")
-    one, two = (sets.select(F.col("id").alias(k), F.col("s").alias(f"s{k}")) for k in ("a", "b"))
+    pairs, one = _spread_over_copies(pairs.select("a", "b"), sets, "a", "b")
+    pairs, two = _spread_over_copies(pairs, sets, "b", "a")
     both = F.size(F.array_intersect("sa", "sb"))
-    return pairs.join(one, "a").join(two, "b").where(100 * both >= 75 * (F.size("sa") + F.size("sb") - both)).select("a", "b").distinct()
+    met = pairs.join(one, ["a", "copy_a"]).join(two, ["b", "copy_b"])
+    return met.where(100 * both >= 75 * (F.size("sa") + F.size("sb") - both)).select("a", "b").distinct()
 
 
 def _crowded_members(members: DataFrame, group: DataFrame) -> DataFrame | None:
@@ -306,7 +341,14 @@ def _crowded_members(members: DataFrame, group: DataFrame) -> DataFrame | None:
 
 
 def _blocks(m: DataFrame, most_alike: bool) -> DataFrame:
-    """a, b, d: minor members (a) with members of other components (b) that common shingles may link, in blocks of both."""
+    """a, b, d: minor members (a) with members of other components (b) that common shingles may link, in blocks of both.
+
+    Such a link needs 7 * common >= 3 * (n + n') on both sides and n' >= 3/4 n, so members with fewer common shingles than 3/4
+    of their set go before any row is copied.
+    """
+    m = cut(m.where(4 * F.col("common") >= 3 * F.col("n")))
+    size = m.groupBy("band").agg(F.count(F.lit(1)).alias("m"), F.count_if("minor").alias("minors")).where("minors > 0")
+    m = m.drop("m", "minors").join(F.broadcast(size) if size.count() <= 200_000 else size, "band")
     rows = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
     spread = lambda n, seed: F.pmod(F.xxhash64("rep", F.lit(seed)), rows(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), rows(n) - 1))
@@ -335,18 +377,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if n_crowded:
         with_bands = classes.select(F.explode("bands").alias("band"), "rep", "n", "sketch", "bands")
         members = cut(with_bands.join(F.broadcast(crowded) if n_crowded <= 200_000 else crowded, "band", "left_semi"))
-        profiles = None
+        known = None
         for most_alike in (True, False):
             m = _crowded_members(members, group)
             if m is None:
                 break
-            if profiles is None:
-                some = _only(texts, cut(m.select(F.col("rep").alias("node")).distinct()), repeated)
-                known, many = common_shingles(some)
-                profiles = cut(some.mapInArrow(_profiles(docs.sparkSession.sparkContext.broadcast(known)), "id long, common long, rare array<bigint>"))
-            m = cut(m.join(profiles, F.col("rep") == F.col("id")))
+            if known is None:
+                known = cut(profiles(_only(texts, cut(m.select(F.col("rep").alias("node")).distinct()), repeated)))
+            m = cut(m.join(known, F.col("rep") == F.col("id")))
             rare = m.dropDuplicates(["rep"]).select(F.explode("rare").alias("band"), "rep", "n", "sketch", "comp").repartition("band").sortWithinPartitions("band", "rep")
-            by_rare = rare.mapInArrow(lambda batches, many=many: _meetings(batches, many, 0), pairs).where("kind = 0").select("a", "b", "d")
+            by_rare = rare.mapInArrow(lambda batches: _meetings(batches, COMMON, 0), pairs).where("kind = 0").select("a", "b", "d")
             found = _blocks(m, most_alike).unionByName(by_rare).unionByName(by_rare.select(F.col("b").alias("a"), F.col("a").alias("b"), "d"))
             new = cut((_most_alike(found) if most_alike else _ordered(found)).join(tested, ["a", "b"], "left_anti"))
             links = cut(confirmed(new, texts, repeated))
@@ -361,18 +401,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one document of each group of near-duplicates; rows of one id with different texts are documents of
     their own, equal ones are one, and every row without an id stays."""
-    named = docs.where(F.col(id_col).isNotNull())
-    if not named.select(F.col(id_col).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():
-        return _without_copies(docs, id_col, text_col)
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))  # columns of any name, as one
+    named = rows.where(F.col("id").isNotNull())
+    if not named.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():
+        return _without_copies(rows).select("doc.*")
     # ids repeat: numbers in the order of the ids stand for id and text
-    rows = named.select(F.struct(*docs.columns).alias("doc"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(text_col).alias("th"))
-    rows = rows.dropDuplicates(["id", "th"]).repartitionByRange("id", "th").sortWithinPartitions("id", "th")
-    rows = written(rows.select("doc", "text", F.monotonically_increasing_id().alias("num")), "near-dedup")
-    return _without_copies(rows, "num", "text").select("doc.*").union(docs.where(F.col(id_col).isNull()))
+    named = named.withColumn("th", F.xxhash64("text")).withColumn("dh", F.xxhash64(F.to_json("doc")))
+    named = named.groupBy("id", "th").agg(F.min_by(F.struct("doc", "text"), "dh").alias("x")).select("id", "th", "x.*")
+    named = named.repartitionByRange("id", "th").sortWithinPartitions("id", "th")
+    named = written(named.select("doc", "text", F.monotonically_increasing_id().alias("id")), "near-dedup")
+    return _without_copies(named).select("doc.*").union(rows.where(F.col("id").isNull()).select("doc.*"))
 
 
-def _without_copies(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """docs, whose ids are null or unique, without those that are not kept."""
-    drop = cut(near_duplicates(docs, id_col, text_col).where("not kept").select(F.col(id_col).alias("__drop")).distinct())
+def _without_copies(rows: DataFrame) -> DataFrame:
+    """rows (doc, id, text), whose ids are null or unique, without those that are not kept."""
+    drop = cut(near_duplicates(rows, "id", "text").where("not kept").select(F.col("id").alias("gone")).distinct())
     n = drop.count()
-    return docs.join(F.broadcast(drop) if n <= 2_000_000 else drop, F.col(id_col) == F.col("__drop"), "left_anti")
+    return rows.join(F.broadcast(drop) if n <= 2_000_000 else drop, F.col("id") == F.col("gone"), "left_anti")
