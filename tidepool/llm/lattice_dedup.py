@@ -7,13 +7,14 @@ them at home, are compared by their cosine in double precision; so a link is nev
 missed only if its vectors meet in no table (under 0.1 % for a cosine of 0.95 at the defaults, less above).
 
 Equal vectors are one class throughout. A crowded cell is dealt by hash into blocks, and pairs of
-blocks are compared in tasks of their own, so no task holds more than about two blocks. A task
+blocks are compared in tasks of their own, so no task holds more than about two blocks (of 2 MB of vectors each: a row of a cell of
+n rows is copied n / 4096 times where vectors have 64 dimensions). A task
 returns a count for each vector and a spanning forest of its links, not the links. A pair that meets
 several times is counted once: at its first table and, there, in the smaller of its two cells, which
 each task finds out by hashing its own vectors again.
 
 Defined results: vectors that are null, zero or hold null or non-finite components link with
-nothing; vectors of different lengths never meet; equal vectors link; repeated rows each give a row,
+nothing; a row without an id is left out of the links and components of others, has a null component and is kept; vectors of different lengths never meet; equal vectors link; repeated rows each give a row,
 and link if their ids differ in nothing but their row; an empty table gives an empty result;
 other columns are ignored.
 """
@@ -29,8 +30,8 @@ from .common import cut
 from .components import components
 from .shingles import U, mix
 
-#: Rows of one block of a crowded cell.
-BLOCK = 512
+#: Bytes of the vectors of one block of a crowded cell, and rows that are compared with others at a time.
+BLOCK_BYTES, BLOCK = 2 << 20, 512
 
 
 def roots() -> np.ndarray:
@@ -172,9 +173,9 @@ def _pairs_schema() -> str:
 
 
 def near_duplicates(
-    vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = 0.95, tables: int = 4, probes: int = 4, cell: float = 1.5, block: int = BLOCK
+    vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = 0.95, tables: int = 4, probes: int = 4, cell: float = 1.5, block: int | None = None
 ) -> DataFrame:
-    """id_col, n_links, component_id and kept of each row."""
+    """id_col, n_links, component_id and kept of each row. block: rows of a block, else as BLOCK_BYTES allows."""
     lattice = Lattice(tables, probes, cell)
 
     def units(batches):
@@ -184,7 +185,10 @@ def near_duplicates(
 
     source = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     rows = cut(source.mapInArrow(units, "id long, v binary"))
-    classes = cut(rows.where("v is not null").groupBy("v").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("mult")))
+    classes = cut(rows.where("v is not null and id is not null").groupBy("v").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("mult")))
+    if block is None:
+        longest = classes.agg(F.max(F.octet_length("v"))).first()[0] or 8
+        block = max(256, min(8192, BLOCK_BYTES // longest))
 
     def keys_only(batches):
         for table, cells, *_ in _cells(batches, lattice):
@@ -227,8 +231,9 @@ def near_duplicates(
     group = components(found.where("edge").select("a", "b"))
     info = classes.join(links, "rep", "left").join(group, F.col("rep") == F.col("node"), "left")
     info = cut(info.select("v", (F.coalesce("linked", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("root", "rep").alias("component_id")))
-    out = rows.join(info, "v", "left").select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
-    return out.withColumn("kept", F.col(id_col) == F.col("component_id"))
+    named = rows.select("id", F.when(F.col("id").isNotNull(), F.col("v")).alias("v"))
+    out = named.join(info, "v", "left").select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
 
 
 def _cells(batches, lattice: Lattice):
