@@ -310,6 +310,33 @@ def test_crowded_buckets_lose_no_link(spark):
     assert got == root
 
 
+def test_profiles_are_the_same_joined_or_broadcast(spark):
+    rng = random.Random(18)
+    common = [f"c{i}" for i in range(30)]
+    rows = [(i, " ".join(common[: rng.randrange(3, 30)] + [f"r{rng.randrange(400)}" for _ in range(rng.randrange(0, 40))])) for i in range(150)] + [(900, "a b"), (901, ""), (902, None)]
+    df = spark.createDataFrame(rows, "id long, text string").repartition(3)
+    by = [{r["id"]: (r["common"], list(r["rare"])) for r in near_dedup.profiles(df, most).collect() if r["common"] or r["rare"]} for most in (10**6, 0)]
+    assert by[0] == by[1] and any(c for c, _ in by[0].values())
+
+
+def test_a_document_of_many_pairs_has_copies_of_its_set(spark):
+    base = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join([*base[:58], f"x{i}", f"y{i}"] if i % 3 else [*base[:20], *(f"z{i}_{j}" for j in range(40))])) for i in range(700)]
+    df = spark.createDataFrame(rows, "id long, text string")
+    pairs = spark.createDataFrame([(1, i) for i in range(2, 700)], "a long, b long")
+    got = {(r["a"], r["b"]) for r in near_dedup.confirmed(pairs, df, False).collect()}
+    assert got == {(1, i) for i in range(2, 700) if i % 3}
+
+
+def test_deduplicated_rows_keep_columns_of_any_name(spark):
+    rows = [(i % 40, f"t{i % 20} " * 9, "a", "b", "c", "d") for i in range(80)] + [(None, "t1 " * 9, "a", "b", "c", "d")] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string, __drop string, id string, gone string, doc string")
+    for part in (df, df.where("doc_id is not null").dropDuplicates(["doc_id"])):
+        out = near_dedup.deduplicated(part)
+        assert out.columns == df.columns
+        assert collections.Counter(r["doc_id"] for r in out.collect()) == {i: 1 for i in range(20)} | ({None: 2} if part is df else {})
+
+
 def test_languages(docs, spark):
     out = language_id.identify(docs)
     rows = out.collect()
@@ -521,6 +548,25 @@ def test_mixing(docs):
     assert sum(len((r["text"] or "").encode().split()) for r in taken.collect()) == sum(r["copies"] * r["size"] for r in rows)
 
 
+def test_targets_of_many_sources(spark):
+    rng = random.Random(2)
+    sizes = {f"s{i:04d}": rng.choice([0, 1, 5, 40, 3000]) for i in range(300)} | {None: 77}
+    units = spark.createDataFrame([(k, n) for k, n in sizes.items()], "source string, size long").repartition(7)
+    order = [*sorted(k for k in sizes if k), None]
+    w = {k: (5, 2, 1)[i % 3] for i, k in enumerate(order)}
+    total, full = 1.5 * sum(sizes.values()), set()
+    while True:  # reshare the excess until none is above
+        level = (total - sum(2 * sizes[k] for k in full)) / sum(w[k] for k in order if k not in full)
+        more = {k for k in order if k not in full and w[k] * level > 2 * sizes[k]}
+        if not more:
+            break
+        full |= more
+    got = {r["source"]: r["target"] for r in mixing.source_targets(units).collect()}
+    assert len(got) == len(sizes) and all(got[k] == pytest.approx(2 * sizes[k] if k in full else w[k] * level) for k in order)
+    zero = mixing.source_targets(units.withColumn("size", F.lit(0).cast("long"))).collect()
+    assert {r["target"] for r in zero} == {0.0} and mixing.source_targets(units.limit(0)).count() == 0
+
+
 def test_mixed_rows_keep_their_source(spark):
     rows = [(None, "one two three", f"s{i % 3}", f"l{i % 2}") for i in range(60)] + [(1, "four five six", None, "x"), (1, "four five six", "s0", "x")]
     d = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").repartition(3)

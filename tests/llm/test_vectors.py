@@ -55,6 +55,12 @@ def test_repeated_and_empty(spark):
     assert lattice_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_vectors_without_an_id(spark):
+    df = spark.createDataFrame([(0, [1.0, 0.0]), (None, [0.0, 1.0]), (None, [0.0, 1.0]), (3, [1.0, 0.01])], "vec_id long, embedding array<double>")
+    rows = sorted((str(r["vec_id"]), r["n_links"], r["component_id"], r["kept"]) for r in lattice_dedup.near_duplicates(df).collect())
+    assert rows == [("0", 1, 0, True), ("3", 1, 0, False), ("None", 0, None, True), ("None", 0, None, True)]
+
+
 def test_lattice_decodes_to_the_nearest_point():
     rng = np.random.default_rng(3)
     x = rng.uniform(-3, 3, (200, 8))
