@@ -638,7 +638,7 @@ def brute_features(url):
     return out
 
 
-def brute_regression(labelled, rounds=100, rate=40.0, decay=0.002):
+def brute_regression(labelled, rounds=40, rate=100.0, decay=0.005):
     x = [brute_features(u) for u, _ in labelled]
     y = np.array([v for _, v in labelled])
     m = np.zeros((len(x), url_filter.BUCKETS))

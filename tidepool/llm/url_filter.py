@@ -117,7 +117,7 @@ def features(host: Column, path: Column) -> tuple[Column, Column]:
     return a, F.when(path != "", grams(path, (3, 4), 2)).otherwise(none)
 
 
-def trained(spark: SparkSession, labelled: list[tuple[str, float]] = LABELLED, rounds: int = 100, rate: float = 40.0, decay: float = 0.002) -> tuple[list[float], float]:
+def trained(spark: SparkSession, labelled: list[tuple[str, float]] = LABELLED, rounds: int = 40, rate: float = 100.0, decay: float = 0.005) -> tuple[list[float], float]:
     """The weight of each bucket and the bias, from urls and their labels (1: to block).
 
     Gradient descent on the mean logistic loss, in the dual: the weights are a sum of the labelled
