@@ -385,8 +385,8 @@ def conflict_pairs_binary(spark, d):
     return conflicts.pairs(packed(reads), packed(writes), lag=LAG)
 
 
-@query(f"""WITH RECURSIVE {_TXN}, p AS (SELECT DISTINCT r.txn AS reader, w.txn AS writer FROM r JOIN w ON r.s < w.e AND w.s < r.e AND w.version > r.read_version AND w.version < r.version),
-o AS (SELECT reader, list(writer) AS writers, row_number() OVER (ORDER BY reader) AS i FROM p GROUP BY reader),
+@query(f"""WITH RECURSIVE {_TXN}, p AS MATERIALIZED (SELECT DISTINCT r.txn AS reader, w.txn AS writer FROM r JOIN w ON r.s < w.e AND w.s < r.e AND w.version > r.read_version AND w.version < r.version),
+o AS MATERIALIZED (SELECT reader, list(writer) AS writers, row_number() OVER (ORDER BY reader) AS i FROM p GROUP BY reader),
 g AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS refused
 UNION ALL SELECT o.i, CASE WHEN len(list_filter(o.writers, lambda x: NOT list_contains(refused, x))) > 0 THEN list_append(refused, o.reader) ELSE refused END FROM g JOIN o ON o.i = g.i + 1),
 n AS (SELECT unnest(refused) AS txn FROM g WHERE i = (SELECT max(i) FROM g))
@@ -538,7 +538,7 @@ def shard_pull(spark, d):
     return logs.shard_pull(log.where("version < 500"), log.where("version < 900"), 3, 500, 40).select("version", "k", F.col("operand").alias("value"))
 
 
-_GREEDY = """o AS (SELECT {by} AS tag, {at} AS pos, {size} AS size, row_number() OVER (PARTITION BY {by} ORDER BY {at}) AS i FROM {rows}),
+_GREEDY = """o AS MATERIALIZED (SELECT {by} AS tag, {at} AS pos, {size} AS size, row_number() OVER (PARTITION BY {by} ORDER BY {at}) AS i FROM {rows}),
 f AS (SELECT tag, i, pos, size, pos AS head, CAST(1 AS BIGINT) AS n, CAST(size AS BIGINT) AS total, CAST(0 AS BIGINT) AS batch FROM o WHERE i = 1
 UNION ALL SELECT tag, i, pos, size, CASE WHEN full_ THEN pos ELSE head END, CASE WHEN full_ THEN 1 ELSE n + 1 END, CASE WHEN full_ THEN size ELSE total + size END, batch + CASE WHEN full_ THEN 1 ELSE 0 END
 FROM (SELECT o.tag, o.i, o.pos, o.size, f.head, f.n, f.total, f.batch, {full} AS full_ FROM f JOIN o ON o.tag = f.tag AND o.i = f.i + 1))"""
@@ -720,13 +720,13 @@ def dump_filtered(spark, d):
     return tools.dump(orders_kv(spark, d), prefix=b"\x16\x02")
 
 
-@query("""SELECT event_id, CAST(event_id - 5000 AS DECIMAL(20, 0)) AS distance, event_id + 1 AS first_after, event_id + 3 AS third_after,
+@query("""SELECT event_id, event_id - 5000 AS distance, event_id + 1 AS first_after, event_id + 3 AS third_after,
 '<0,0,0,0,0,0,' || event_id // 256 || ',' || event_id % 256 || '>' AS shown, true AS valid FROM events""")
 def version_functions(spark, d):
     e, v = table(spark, d, "events"), F.col("event_id")
     after = keys.version_sequence(v, F.lit(3))
     return e.select(
-        "event_id", keys.version_distance(v, F.lit(5000)).cast("decimal(20,0)").alias("distance"), after[0].alias("first_after"), after[2].alias("third_after"),
+        "event_id", keys.version_distance(v, F.lit(5000)).cast("long").alias("distance"), after[0].alias("first_after"), after[2].alias("third_after"),
         keys.version_string(v).alias("shown"), keys.version_valid(keys.version_bytes(v)).alias("valid"),
     )
 
