@@ -44,3 +44,30 @@ def test_load(spark, tmp_path):
     (tmp_path / "chunks").mkdir()
     (tmp_path / "chunks" / "c").write_bytes(files.write_chunk([(i, b"p") for i in range(8)]))
     assert files.load(spark, str(tmp_path / "chunks"), "chunk", 6).count() == 2
+
+
+def test_chunks_of_a_store(spark, tmp_path):
+    from tidepool.sources.chunks import Chunks, shard_name
+
+    rows = [(t, v, bytearray(bytes([v % 256]) * (10 + v % 7))) for t in (1, 40) for v in range(100, 200, 1 if t == 1 else 3)]
+    rows += [(1, 5000, bytearray(b"late"))]
+    log = spark.createDataFrame(rows, "tag int, version long, payload binary").repartition(5)
+    store = Chunks(spark, str(tmp_path / "chunks"))
+    assert store.latest_version(1) is None and store.read_from(1).count() == 0 and shard_name(40) == "14"
+    n = store.write(log, 200, 1000)
+    assert n > 8 and store.write(log, 200, 1000) == 0  # written once
+    found = store.metadata(1).orderBy("min_version").collect()
+    assert sum(r["n"] for r in found) == 101 and all(a["max_version"] < b["min_version"] for a, b in zip(found, found[1:]))
+    assert found[-1]["min_version"] == 5000  # a gap flushes
+    assert (store.oldest_version(1), store.latest_version(1), store.latest_version(40)) == (100, 5000, 199)
+    assert store.find(1, 150) in store.paths(1) and store.find(1, 300) is None and store.find(1, 6000) is None
+    got = {r["version"]: bytes(r["payload"]) for r in store.read_from(1, 150).collect()}
+    assert got == {v: bytes(x) for t, v, x in rows if t == 1 and v >= 150}
+
+
+def test_versions_beyond_the_longs_are_errors(spark, tmp_path):
+    from tidepool.sources import files
+
+    (tmp_path / "s").write_bytes(files.write_segment([(5, b"a"), (2**63, b"b")]))
+    rows = files.load(spark, str(tmp_path / "s")).collect()
+    assert [(r["version"], r["error"] is None) for r in rows] == [(5, True), (None, False)]

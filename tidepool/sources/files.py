@@ -115,7 +115,7 @@ def read_payload(data: bytes, only: set[int] | None = None) -> dict[int, bytes]:
     return out
 
 
-def load(spark: SparkSession, path: str, kind: str = "segment", at_least: int = 0) -> DataFrame:
+def load(spark: SparkSession, path: str | list[str], kind: str = "segment", at_least: int = 0) -> DataFrame:
     """path, version, payload, error of the records of all files at path. A file that is corrupted gives its
     records up to there, then a row with the error."""
     read = read_segment if kind == "segment" else lambda data: read_chunk(data, at_least)
@@ -126,6 +126,8 @@ def load(spark: SparkSession, path: str, kind: str = "segment", at_least: int =
                 rows = []
                 try:
                     for version, payload in read(data.as_py()):
+                        if version >= 2**63:
+                            raise Corrupted(f"version {version} is beyond the longs")
                         if version >= at_least:
                             rows.append((name, version, payload, None))
                 except Corrupted as e:
