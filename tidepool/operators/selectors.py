@@ -4,18 +4,20 @@ The documented contract: first_greater_or_equal(k) is the smallest key >= k, fir
 smallest > k, last_less_or_equal(k) the largest <= k, last_less_than(k) the largest < k; an offset
 moves so many keys up (or down, if negative); beyond either end the result is null.
 
-Keys are dealt into ranges by sampled split points; a key's rank is its range's offset plus its place
-in the range, so no task sorts all keys. A probe's rank comes from the same split points, and
-the answer is one equi-join on rank.
+Keys and probes are sorted together, by ranges: one exchange, after which each task walks its own range and numbers its
+keys; a key's rank is that number plus the sizes of the ranges before, so no task sorts all keys. A probe has the rank that the
+walk met it at, and the answer is one equi-join on rank.
 """
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window, functions as F
 
-#: Keys are dealt into ranges of about KEYS_A_RANGE; the split points, MOST_RANGES at most, travel as a literal.
-FEWEST_RANGES, MOST_RANGES, KEYS_A_RANGE = 256, 4096, 1_000_000
+from ..sources.scratch import cut
 
 
 @dataclass(frozen=True)
@@ -59,68 +61,42 @@ def last_less_than(key: bytes) -> KeySelector:
     return KeySelector(key, False, 0)
 
 
-def _range_of(key: Column, splits: list) -> Column:
-    """How many split points are at or below key."""
-    if not splits:
-        return F.lit(0)
-    points = F.array(*[F.lit(s) for s in splits])
-    # binary search
-    lo, hi = F.lit(0), F.lit(len(splits))
-    state = F.struct(lo.alias("lo"), hi.alias("hi"))
-
-    def halve(s: Column, _: Column) -> Column:
-        mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
-        up = (s["lo"] < s["hi"]) & (F.element_at(points, F.least(mid + 1, F.lit(len(splits)))) <= key)
-        return F.when(s["lo"] >= s["hi"], s).when(up, F.struct((mid + 1).alias("lo"), s["hi"].alias("hi"))).otherwise(F.struct(s["lo"].alias("lo"), mid.alias("hi")))
-
-    return F.aggregate(F.sequence(F.lit(1), F.lit(len(splits).bit_length() + 1)), state, halve)["lo"]
-
-
-def split_points(keys: DataFrame, ranges: int | None = None) -> list:
-    """Keys that cut the table into about equal ranges, from a bounded sample."""
-    n = keys.count()
-    ranges = ranges or min(MOST_RANGES, max(FEWEST_RANGES, n // KEYS_A_RANGE))
-    # compared in 63 bits, so that the share kept is right for any n
-    some = keys.select("key") if n <= 20_000 else keys.select("key").where(F.shiftrightunsigned(F.xxhash64("key"), 1) < F.lit((20_000 << 63) // n))
-    found = sorted(r[0] for r in some.distinct().collect())
-    step = max(1, len(found) // ranges)
-    return found[step::step][: ranges - 1]
-
-
-def ranked(keys: DataFrame, splits: list) -> DataFrame:
-    """keys (key, ...) with range and rank, from 0, in key order."""
-    dealt = keys.withColumn("range", _range_of(F.col("key"), splits))
-    sizes = dealt.groupBy("range").agg(F.count(F.lit(1)).alias("n"))  # a row for each range
-    offsets = sizes.select("range", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("offset"))
-    place = F.row_number().over(Window.partitionBy("range").orderBy("key")) - 1
-    return dealt.join(F.broadcast(offsets), "range").withColumn("rank", (F.col("offset") + place).cast("long")).drop("offset")
-
-
-def counts_below(keys: DataFrame, probes: DataFrame, splits: list) -> DataFrame:
-    """probes (probe, ...) with below and upto: how many keys are < and <= the probe."""
-    dealt = keys.select("key", F.lit(0).alias("is_probe")).unionByName(probes.select(F.col("probe").alias("key")).distinct().withColumn("is_probe", F.lit(1)))
-    dealt = dealt.withColumn("range", _range_of(F.col("key"), splits))
-    sizes = dealt.groupBy("range").agg(F.sum(1 - F.col("is_probe")).alias("n"))
-    offsets = sizes.select("range", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("offset"))
-    by_key = Window.partitionBy("range").orderBy("key")
-    one = F.when(F.col("is_probe") == 0, 1).otherwise(0)
-    seen = F.sum(one).over(by_key)  # range frame: every row of an equal key counts
-    same = F.sum(one).over(Window.partitionBy("range", "key"))
-    out = dealt.join(F.broadcast(offsets), "range").withColumn("upto", F.col("offset") + seen).withColumn("below", F.col("upto") - same)
-    out = out.where("is_probe = 1").select(F.col("key").alias("probe"), F.col("below").cast("long"), F.col("upto").cast("long"))
-    return probes.join(out, "probe")
+#: What a row is when it is walked: a probe before its key, a key, a probe after its key.
+_BEFORE, _KEY, _AFTER = 0, 1, 2
+
+
+def _numbered(batches):
+    """Adds to rows (key, what), sorted, the range and how many keys of the range come before."""
+    part, n = TaskContext.get().partitionId(), 0
+    for batch in batches:
+        is_key = batch.column(1).to_numpy() == _KEY
+        upto = n + np.cumsum(is_key)
+        n = int(upto[-1]) if len(upto) else n
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(is_key), part, np.int32)), pa.array((upto - is_key).astype(np.int64))], ["key", "what", "part", "n"])
+
+
+def ranked(keys: DataFrame, probes: DataFrame, ranges: int | None = None) -> DataFrame:
+    """key, what, rank: of each key its rank from 0, of each probe how many keys are below (what 0) and not above it (what 2)."""
+    rows = keys.select("key", F.lit(_KEY).alias("what")).unionByName(probes.select(F.col("probe").alias("key")).distinct().select("key", F.explode(F.array(F.lit(_BEFORE), F.lit(_AFTER))).alias("what")))
+    by_range = rows.repartitionByRange(ranges, "key") if ranges else rows.repartitionByRange("key")
+    kind = rows.schema["key"].dataType.simpleString()
+    walked = cut(by_range.sortWithinPartitions("key", "what").mapInArrow(_numbered, f"key {kind}, what int, part int, n long"))
+    sizes = walked.groupBy("part").agg(F.count_if(F.col("what") == _KEY).alias("size"))  # a row for each range
+    before = sizes.select("part", (F.sum("size").over(Window.orderBy("part")) - F.col("size")).alias("before"))
+    return walked.join(F.broadcast(before), "part").select("key", "what", (F.col("n") + F.col("before")).alias("rank"))
 
 
 def resolve(keys: DataFrame, probes: DataFrame, ranges: int | None = None) -> DataFrame:
     """probes with `found`: probes have probe, kind (a constructor's name) and offset; keys have distinct key."""
-    splits = split_points(keys, ranges)
-    kind = F.col("kind")
+    rows = ranked(keys, probes, ranges)
+    kind, at = F.col("kind"), lambda what: F.max(F.when(F.col("what") == what, F.col("rank")))
+    counts = rows.where(F.col("what") != _KEY).groupBy(F.col("key").alias("probe")).agg(at(_BEFORE).alias("below"), at(_AFTER).alias("upto"))
     base = (
         F.when(kind == "first_greater_or_equal", F.col("below")).when(kind == "first_greater_than", F.col("upto"))
         .when(kind == "last_less_or_equal", F.col("upto") - 1).when(kind == "last_less_than", F.col("below") - 1)
     )
-    wanted = counts_below(keys, probes, splits).withColumn("rank", base + F.col("offset"))
-    order = ranked(keys.select("key"), splits).select("rank", F.col("key").alias("found"))
+    wanted = probes.join(counts, "probe").withColumn("rank", base + F.col("offset"))
+    order = rows.where(F.col("what") == _KEY).select("rank", F.col("key").alias("found"))
     return wanted.join(order, "rank", "left").drop("rank", "below", "upto")
 
 
