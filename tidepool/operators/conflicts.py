@@ -105,7 +105,7 @@ def metrics(reads: DataFrame, writes: DataFrame) -> DataFrame:
     binary = isinstance(writes.schema["s"].dataType, BinaryType)
     point = is_point(F.col("s"), F.col("e"), binary)
     w = writes.agg(F.countDistinct("version").alias("versions"), F.sum(point.cast("long")).alias("points"), F.sum((~point & (F.col("e") > F.col("s"))).cast("long")).alias("ranges"))
-    return w.crossJoin(reads.agg(F.count(F.lit(1)).alias("reads")))  # one row by one row
+    return w.withColumn("reads", reads.agg(F.count(F.lit(1)).alias("reads")).scalar())
 
 
 def retained(writes: DataFrame, last: int, window: int) -> DataFrame:

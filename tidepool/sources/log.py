@@ -25,8 +25,8 @@ def decided(pushes: DataFrame, last: int) -> DataFrame:
     large, old = F.col("bytes") > MAX_TRANSACTION, (F.col("expected") < last) | (F.col("version") <= F.col("expected"))
     first = pushes.where(~large & ~old).groupBy("expected").agg(F.min(F.struct("arrival", "version")).alias("x")).select("expected", "x.*")
     orphans = first.where(F.col("expected") != last).join(first.select(F.col("version").alias("expected")), "expected", "left_anti")
-    gap = orphans.agg(F.min("expected").alias("gap"))  # one row
-    known = pushes.join(first.select("expected", F.col("arrival").alias("first_arrival")), "expected", "left").crossJoin(F.broadcast(gap))
+    known = pushes.join(first.select("expected", F.col("arrival").alias("first_arrival")), "expected", "left")
+    known = known.withColumn("gap", orphans.agg(F.min("expected").alias("gap")).scalar())
     state = (
         F.when(large, "tx_too_large").when(old | (F.col("arrival") != F.col("first_arrival")), "tx_out_of_order")
         .when(F.col("gap").isNull() | (F.col("expected") < F.col("gap")), "accepted").otherwise("waiting")
@@ -66,8 +66,8 @@ def pull(log: DataFrame, after: int, limit: int = PULL_DEFAULT, until: int | Non
 def shard_pull(buffer: DataFrame, stored: DataFrame, tag: int, start: int, limit: int = PULL_DEFAULT) -> DataFrame:
     """A shard's mutations of the first `limit` versions at or above start: of the buffer if it has any, else of what is stored."""
     here, there = (df.where((F.col("tag") == tag) & (F.col("version") >= start)) for df in (buffer, stored))
-    first = here.agg(F.count(F.lit(1)).alias("buffered"))  # one row
-    both = here.withColumn("source", F.lit(0)).unionByName(there.withColumn("source", F.lit(1))).crossJoin(F.broadcast(first))
+    both = here.withColumn("source", F.lit(0)).unionByName(there.withColumn("source", F.lit(1)))
+    both = both.withColumn("buffered", here.agg(F.count(F.lit(1)).alias("n")).scalar())
     rows = both.where((F.col("source") == 0) == (F.col("buffered") > 0)).drop("source", "buffered")
     some = rows.select("version").distinct().orderBy("version").limit(limit)
     return rows.join(F.broadcast(some), "version", "left_semi")
