@@ -217,6 +217,8 @@ def test_wrapped_and_joined_base64():
         assert structure(f"u/{url}?") == [(url, kind)]
     assert structure("id=ff" + ec.hex() + "..") == [(ec.hex(), "der")] and structure("id=" + ec.hex()[:-2]) == []
     assert structure("MIIEAIBA" * 20_000) == []  # many starts, no key
+    for odd in ("MCYCAQA.", "MCYCAQA", "MCYCAQA\u00e9", "MIGEAgEA!", "MIIEAAIBA.", "b3BlbnNzaC1rZXktdjEA", "b3BlbnNzaC1rZXktdjEA=", "MCYCAQA\n\n", "MCYCAQA\\n", "3026020100zz", "3082FFFF020100"):
+        assert structure(odd) == structure(odd * 3) == []
     pretty = base64.urlsafe_b64encode(b'{\n  "alg": "HS256"}').decode().rstrip("=")
     token = f"{pretty}.{base64.urlsafe_b64encode(b'{}').decode().rstrip('=')}.c2ln"
     assert structure(f"t {token} ") == [(token, "jwt")]

@@ -208,7 +208,7 @@ def keys_in_base64(text: str) -> list[tuple[int, int, str]]:
         at = m.start()
         if at < past:
             continue
-        head = decode64(text[at : at + 8])
+        head = decode64(text[at : at + 7])  # what every start has at least
         most = None  # characters that can matter
         if head[:1] == b"\x30":
             n = key_length(head)
