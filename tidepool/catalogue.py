@@ -311,11 +311,11 @@ def mutation_supersession(spark, d):
 
 
 @query(f"""WITH s AS (SELECT k, max(version) AS version, arg_max(value, version) AS value FROM {_LOG} WHERE value IS NOT NULL GROUP BY k),
-c AS (SELECT user_id AS s, user_id + 10 AS e, event_id AS cleared FROM events WHERE event_id % 97 = 0)
+c AS (SELECT user_id AS s, user_id + 10 AS e, event_id AS cleared FROM events WHERE event_type = 'error')
 SELECT k, version, value FROM s WHERE NOT EXISTS (SELECT 1 FROM c WHERE k >= c.s AND k < c.e AND cleared > version)""")
 def clear_range_apply(spark, d):
     log = event_log(spark, d)
-    clears = log.where("version % 97 = 0").select(F.col("k").alias("s"), (F.col("k") + 10).alias("e"), F.col("version").alias("at"))
+    clears = log.where("op = 'clear'").select(F.col("k").alias("s"), (F.col("k") + 10).alias("e"), F.col("version").alias("at"))
     return ranges.apply_clears(log.where("op = 'set'").select("k", "version", F.col("operand").alias("value")), clears)
 
 
